@@ -1,3 +1,4 @@
 """Importing this module registers every query."""
 
 from . import q_prep  # noqa: F401
+from . import q_profile  # noqa: F401
