@@ -2,3 +2,4 @@
 
 from . import q_prep  # noqa: F401
 from . import q_profile  # noqa: F401
+from . import q_metrics  # noqa: F401
