@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import quantile_bucket, running_totals
+from .ordered import monotone_bucket, running_totals
 
 
 def _div(a, b):
@@ -83,9 +83,8 @@ def score_table(preds: DataFrame, by: Sequence[str] = ("model",), label: str = "
 
 def _ranked(preds, by, label, score, descending, with_next=False, n_buckets=64):
     st = score_table(preds, by, label, score)
-    b = quantile_bucket(st, by, score, n_buckets)
-    return running_totals(b, by, [score], ["pos", "neg"], F.col("_qbk"), descending=descending,
-                          with_next=with_next).drop("_qbk")
+    return running_totals(st, by, [score], ["pos", "neg"], monotone_bucket(F.col(score).cast("double")),
+                          descending=descending, with_next=with_next)
 
 
 def roc_auc(preds: DataFrame, by: Sequence[str] = ("model",), label: str = "label",

@@ -32,6 +32,24 @@ def quantile_bucket(df: DataFrame, by: Sequence[str], col: str, n_buckets: int =
     return d.withColumn("_qbk", F.size(F.filter("_qb", lambda q: q < F.col(col)))).drop("_qb")
 
 
+def monotone_bucket(c, sub_bits: int = 8) -> Column:
+    """Data-independent bucket that never decreases as the value grows.
+
+    Positive x: binary exponent e = floor(log2 x) and the top ``sub_bits`` bits
+    of the mantissa; negatives mirror it; zero sits in between. Clamping the
+    mantissa part keeps the key monotone even where log2 rounds at a power
+    of two. No pass over the data is needed to find the cuts.
+    """
+    x = F.col(c) if isinstance(c, str) else c
+    k = 1 << sub_bits
+
+    def pos_key(v):
+        e = F.floor(F.log2(v))
+        frac = F.floor((v / F.pow(F.lit(2.0), e) - 1.0) * k)
+        return (e + 1100) * k + F.least(F.greatest(frac, F.lit(0)), F.lit(k - 1))
+    return (F.when(x > 0, pos_key(x) + 1).when(x < 0, -pos_key(-x) - 1).otherwise(F.lit(0))).cast("long")
+
+
 def running_totals(df: DataFrame, by: Sequence[str], order: Sequence[str], values: Sequence[str],
                    bucket: Column, descending: bool = False, with_next: bool = False) -> DataFrame:
     """Adds ``cum_<v>``: inclusive running sum of ``v`` within ``by`` in ``order``.
@@ -71,6 +89,6 @@ def running_totals(df: DataFrame, by: Sequence[str], order: Sequence[str], value
 
 def dense_index(df: DataFrame, key: str, name: str = "index", n_buckets: int = 64) -> DataFrame:
     """0..n-1 in key order, computed in parallel (no single-task row_number)."""
-    d = quantile_bucket(df.withColumn("_one", F.lit(1)), [], key, n_buckets)
-    r = running_totals(d, [], [key], ["_one"], F.col("_qbk"))
-    return r.withColumn(name, F.col("cum__one") - 1).drop("_one", "cum__one", "_qbk")
+    d = df.withColumn("_one", F.lit(1))
+    r = running_totals(d, [], [key], ["_one"], monotone_bucket(F.col(key).cast("double")))
+    return r.withColumn(name, F.col("cum__one") - 1).drop("_one", "cum__one")

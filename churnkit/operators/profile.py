@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import quantile_bucket, running_totals
+from .ordered import monotone_bucket, running_totals
 
 
 def attach(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -44,8 +44,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     """
     long = stack(df, cols).filter(F.col("value").isNotNull() & ~F.isnan("value"))
     vc = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    b = quantile_bucket(vc, ["column"], "value", n_buckets)
-    r = running_totals(b, ["column"], ["value"], ["n"], F.col("_qbk"))
+    r = running_totals(vc, ["column"], ["value"], ["n"], monotone_bucket("value"))
     tot = vc.groupBy("column").agg(F.sum("n").alias("_total"))
     r = r.join(tot, "column")
     aggs = []

@@ -8,13 +8,25 @@ only by the oracle.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 
 
+_BASE: dict = {}
+
+
 def churn_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw churn table, built once per session and kept for later queries."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BASE:
+        _BASE[key] = build_churn_base(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    return _BASE[key]
+
+
+def build_churn_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = read_table(spark, sf_dir, "customer")
     orders = read_table(spark, sf_dir, "orders")
 
