@@ -91,7 +91,8 @@ def calinski_harabasz(df: DataFrame, cols: Sequence[str], cluster: str = "cluste
     w = pts.join(cen, "cluster").agg(F.sum(_sqdist(F.col("x"), F.col("mu"))).alias("W"),
                                      F.count(F.lit(1)).alias("N"))
     mvec = pts.agg(F.array(*[F.avg(F.col("x")[i]) for i in range(len(cols))]).alias("m")).scalar()
-    b = cen.agg(F.sum(F.col("n") * _sqdist(F.col("mu"), mvec)).alias("B"), F.count(F.lit(1)).alias("K"))
+    b = cen.withColumn("_g", mvec).agg(F.sum(F.col("n") * _sqdist(F.col("mu"), F.col("_g"))).alias("B"),
+                                       F.count(F.lit(1)).alias("K"))
     j = b.withColumns({"W": w.select("W").scalar(), "N": w.select("N").scalar()})
     ch = F.when(F.col("W") == 0, F.lit(1.0)).otherwise(
         (F.col("B") / (F.col("K") - 1)) / (F.col("W") / (F.col("N") - F.col("K"))))
@@ -124,8 +125,8 @@ def normalized_mutual_info(df: DataFrame, cluster: str = "cluster", label: str =
     b = ct.groupBy(label).agg(F.sum("nij").alias("b"))
     j = ct.join(a, cluster).join(b, label)
     mi = j.agg(F.sum(F.col("nij") / n * F.log(n * F.col("nij") / (F.col("a") * F.col("b")))).alias("mi"))
-    ha = a.agg(-F.sum(F.col("a") / n * F.log(F.col("a") / n)).alias("h"), F.count(F.lit(1)).alias("k"))
-    hb = b.agg(-F.sum(F.col("b") / n * F.log(F.col("b") / n)).alias("h"), F.count(F.lit(1)).alias("k"))
+    ha = a.agg((-F.sum(F.col("a") / n * F.log(F.col("a") / n))).alias("h"), F.count(F.lit(1)).alias("k"))
+    hb = b.agg((-F.sum(F.col("b") / n * F.log(F.col("b") / n))).alias("h"), F.count(F.lit(1)).alias("k"))
     r = mi.withColumns({"ha": ha.select("h").scalar(), "hb": hb.select("h").scalar(),
                         "ka": ha.select("k").scalar(), "kb": hb.select("k").scalar()})
     norm = F.greatest((F.col("ha") + F.col("hb")) / 2, F.lit(float(2.220446049250313e-16)))

@@ -4,3 +4,4 @@ from . import q_prep  # noqa: F401
 from . import q_profile  # noqa: F401
 from . import q_metrics  # noqa: F401
 from . import q_ensemble  # noqa: F401
+from . import q_cluster  # noqa: F401
