@@ -299,3 +299,25 @@ def best_model(spark, sf_dir):
     """Comparison of the linear family and the best model by test AUC."""
     p = _linear_family(spark, sf_dir).filter(F.col("split") == "test")
     return round_doubles(final_report(comparison_table(p.select("row_id", "label", "model", "score", "prediction"))))
+
+
+@register("io10_batch_scoring")
+def batch_scoring(spark, sf_dir):
+    """IO7/IO8/IO10: fit L2 logistic in a pipeline, save, load it back, and score the raw
+    customer rows with the stateless scoring projection (same code serves a stream)."""
+    import tempfile
+    from pyspark.ml import Pipeline
+    from ..operators.prep import feature_columns
+    from ..operators.scale import Standardizer
+    from ..streaming.scoring import load_models, save_model, score
+    from .pipeline import scaled_columns
+    raw = churn_base(spark, sf_dir)
+    f = churn_features(spark, sf_dir, scale=False)
+    scaler = Standardizer(scaled_columns()).fit(f.filter(F.col("split") == "train"))
+    tr = with_vector(scaler.transform(f.filter(F.col("split") == "train")))
+    pm = Pipeline(stages=[LogisticRegression(maxIter=20, standardization=False)]).fit(tr)
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="churnkit-models-")
+    path = base.rstrip("/") + "/models-" + spark.sparkContext.applicationId
+    save_model(pm, path + "/logistic")
+    loaded = load_models(path, ["logistic", "missing_model"])
+    return round_doubles(score(raw, scaler, loaded["logistic"], feature_columns(), "logistic"))
