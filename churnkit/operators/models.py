@@ -33,15 +33,30 @@ def _prob1():
     return vector_to_array(F.col("probability"))[1]
 
 
+ROWS_PER_PARTITION = 1_000_000
+
+
 def train_rows(df: DataFrame) -> DataFrame:
     return df.filter(F.col("split") == "train")
 
 
+def fit_input(df: DataFrame, n: int | None = None) -> tuple[DataFrame, int]:
+    """Train rows sized for iterative fits: about ROWS_PER_PARTITION rows per
+    partition (never more partitions than now; coalesce, no shuffle). Every
+    optimiser iteration is one job, so tiny inputs spread over many tasks
+    pay scheduling cost per iteration, while big inputs keep their parallelism."""
+    tr = train_rows(df)
+    n = n if n is not None else tr.count()
+    want = max(1, -(-n // ROWS_PER_PARTITION))
+    if tr.rdd.getNumPartitions() > want:
+        tr = tr.coalesce(want)
+    return tr, n
+
+
 def logistic(df: DataFrame, C: float = 1.0, penalty: str = "l2", name: str = "LogisticRegression",
              max_iter: int = 100, n_train: int | None = None):
     """L1/L2: scikit-learn's C maps to regParam = 1 / (C * n_train); no feature standardisation."""
-    tr = train_rows(df)
-    n = n_train or tr.count()
+    tr, n = fit_input(df, n_train)
     lr = LogisticRegression(regParam=1.0 / (C * n), elasticNetParam=1.0 if penalty == "l1" else 0.0,
                             standardization=False, maxIter=max_iter, tol=1e-8)
     m = lr.fit(tr)
@@ -52,15 +67,14 @@ def elastic_net(df: DataFrame, alpha: float = 0.1, l1_ratio: float = 0.5, name:
                 max_iter: int = 100):
     """Exact optimum of the elastic-net logistic objective (instead of SGD)."""
     lr = LogisticRegression(regParam=alpha, elasticNetParam=l1_ratio, standardization=False, maxIter=max_iter)
-    m = lr.fit(train_rows(df))
+    m = lr.fit(fit_input(df)[0])
     return m, _out(m.transform(df), name, _prob1())
 
 
 def polynomial_logistic(df: DataFrame, degree: int = 2, C: float = 1.0, name: str = "PolynomialLogistic",
                         max_iter: int = 100):
     """Degree-2 expansion, standardised on the train rows, then L2 logistic."""
-    tr = train_rows(df)
-    n = tr.count()
+    tr, n = fit_input(df)
     pipe = Pipeline(stages=[
         PolynomialExpansion(degree=degree, inputCol="features", outputCol="_poly"),
         StandardScaler(withMean=True, withStd=True, inputCol="_poly", outputCol="_polys"),
@@ -104,7 +118,7 @@ def gradient_boosting(df: DataFrame, n_trees: int = 100, max_depth: int = 3, rat
                       subsample: float = 1.0, name: str = "GradientBoosting", seed: int = 42):
     """Logistic-loss boosted trees."""
     m = GBTClassifier(maxIter=n_trees, maxDepth=max_depth, stepSize=rate, subsamplingRate=subsample,
-                      seed=seed).fit(train_rows(df))
+                      seed=seed).fit(fit_input(df)[0])
     return m, _out(m.transform(df), name, _prob1())
 
 
@@ -119,7 +133,7 @@ def early_stopped_boosting(df: DataFrame, n_trees: int = 100, leaves: int = 31,
     """
     from .metrics import roc_auc
     depth = max(1, math.ceil(math.log2(leaves)))
-    m = GBTClassifier(maxIter=n_trees, maxDepth=depth, stepSize=rate, seed=seed).fit(train_rows(df))
+    m = GBTClassifier(maxIter=n_trees, maxDepth=depth, stepSize=rate, seed=seed).fit(fit_input(df)[0])
     trees, w = m.trees, m.treeWeights
     val = df.filter(F.col("split") == "val")
     cols = []
@@ -161,8 +175,8 @@ def adaboost(df: DataFrame, rounds: int = 100, rate: float = 1.0, name: str = "A
     with a reliable checkpoint.
     """
     from ..session import cut_lineage
-    tr = train_rows(df).select("row_id", "label", "features").withColumn("w", F.lit(1.0))
-    n = tr.count()
+    tr, n = fit_input(df)
+    tr = tr.select("row_id", "label", "features")
     tr = tr.withColumn("w", F.lit(1.0 / n))
     stumps = []
     for r in range(rounds):
@@ -192,8 +206,7 @@ def adaboost(df: DataFrame, rounds: int = 100, rate: float = 1.0, name: str = "A
 
 def linear_svm(df: DataFrame, C: float = 1.0, name: str = "LinearSVM", max_iter: int = 100):
     """Hinge-loss linear SVM, regParam = 1 / (C * n); score = decision value."""
-    tr = train_rows(df)
-    n = tr.count()
+    tr, n = fit_input(df)
     m = LinearSVC(regParam=1.0 / (C * n), standardization=False, maxIter=max_iter).fit(tr)
     s = m.transform(df)
     margin = vector_to_array(F.col("rawPrediction"))[1]
