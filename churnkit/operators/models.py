@@ -215,3 +215,31 @@ def linear_svm(df: DataFrame, C: float = 1.0, name: str = "LinearSVM", max_iter:
 
 def coefficients(model, names) -> list[tuple[str, float]]:
     return list(zip(names, [float(x) for x in model.coefficients]))
+
+
+def decision_grid(df: DataFrame, model, f1: str, f2: str, names, step: float = 0.02, margin: float = 1.0,
+                  max_points: int = 1_000_000) -> DataFrame:
+    """Score a dense grid over two features, every other feature 0.
+
+    Axes are ``arange(min - margin, max + margin, step)`` per feature; the grid
+    size depends on the value ranges and the step (checked against
+    ``max_points``), not on the number of rows. Points are generated by two
+    explodes from one row of min/max, then scored by ``model``.
+    """
+    from pyspark.ml.feature import VectorAssembler
+    mm = df.agg(F.min(f1).alias("a0"), F.max(f1).alias("a1"), F.min(f2).alias("b0"), F.max(f2).alias("b1"))
+    r = mm.first()
+    na = int(math.ceil((r["a1"] - r["a0"] + 2 * margin) / step))
+    nb = int(math.ceil((r["b1"] - r["b0"] + 2 * margin) / step))
+    if na * nb > max_points:
+        raise ValueError(f"grid of {na * nb} points exceeds {max_points}; use a larger step")
+    g = (mm.select(F.explode(F.sequence(F.lit(0), F.lit(na - 1))).alias("i"), "a0", "b0")
+         .select("i", "a0", "b0", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("j")))
+    g = g.select("i", "j", (F.col("a0") - margin + F.col("i") * step).alias(f1),
+                 (F.col("b0") - margin + F.col("j") * step).alias(f2))
+    zeros = [F.lit(0.0).alias(n) for n in names if n not in (f1, f2)]
+    pts = g.select("i", "j", f1, f2, *zeros)
+    x = VectorAssembler(inputCols=list(names), outputCol="features").transform(pts)
+    s = model.transform(x)
+    p1 = vector_to_array(F.col("probability"))[1] if "probability" in s.columns else F.col("prediction")
+    return s.select("i", "j", f1, f2, p1.cast("double").alias("score"))

@@ -148,3 +148,28 @@ def isotonic_calibration(df: DataFrame, folds: int = 3, fit=None, name: str = "L
     return (before.withColumns({"auc_after": after.scalar()})
             .select(F.lit(name).alias("model"), "auc_before", "auc_after",
                     (F.col("auc_after") - F.col("auc_before")).alias("improvement")))
+
+
+def random_search(df: DataFrame, estimator, space: dict, n_iter: int = 10, folds: int = 5, seed: int = 42,
+                  score_col: str = "prediction", parallelism: int = 4) -> DataFrame:
+    """H2: ``n_iter`` draws without replacement from the product of ``space``
+    (param -> list of values, seeded), cross-validated on exact stratified folds.
+
+    The candidate list is a small driver-side list of parameter maps; every
+    fit and evaluation runs on Spark.
+    """
+    import itertools
+    import random
+    keys = list(space)
+    combos = list(itertools.product(*[space[k] for k in keys]))
+    picks = random.Random(seed).sample(combos, min(n_iter, len(combos)))
+    maps = [{k: v for k, v in zip(keys, c)} for c in picks]
+    tr = with_folds(df, folds).persist()
+    ev = BinaryClassificationEvaluator(rawPredictionCol=score_col, metricName="areaUnderROC", numBins=0)
+    cvm = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=ev, numFolds=folds,
+                         foldCol="fold", parallelism=parallelism).fit(tr)
+    tr.unpersist()
+    best = max(range(len(maps)), key=lambda i: (cvm.avgMetrics[i], -i))
+    rows = [(str({p.name: v for p, v in m.items()}), float(a), float(s), int(i == best))
+            for i, (m, a, s) in enumerate(zip(maps, cvm.avgMetrics, cvm.stdMetrics))]
+    return df.sparkSession.createDataFrame(rows, "params string, mean_auc double, std_auc double, is_best int")

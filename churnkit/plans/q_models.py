@@ -321,3 +321,39 @@ def batch_scoring(spark, sf_dir):
     save_model(pm, path + "/logistic")
     loaded = load_models(path, ["logistic", "missing_model"])
     return round_doubles(score(raw, scaler, loaded["logistic"], feature_columns(), "logistic"))
+
+
+@register("p19_decision_grid")
+def decision_grid(spark, sf_dir):
+    """A logistic model on two scaled features scored on a 0.05-step grid (others 0)."""
+    from ..operators.prep import feature_columns
+    d = vec_table(spark, sf_dir)
+    names = feature_columns()
+    m, _ = MD.logistic(d, max_iter=20)
+    g = MD.decision_grid(MD.train_rows(d), m, "tenure", "MonthlyCharges", names, step=0.05)
+    return round_doubles(g)
+
+
+@register("c10_pca_projection")
+def pca_projection(spark, sf_dir):
+    """2-D principal-component projection of the feature table (train + val) with
+    deterministic cluster labels; explained-variance ratios repeated per row."""
+    from pyspark.ml.functions import vector_to_array
+    from .fixtures import pseudo_clusters
+    f = vec_table(spark, sf_dir).filter(F.col("split").isin("train", "val"))
+    f = pseudo_clusters(f.withColumn("tenure", F.col("tenure")))
+    _, ratios, proj = CL.pca(f, 2)
+    a = vector_to_array("pca")
+    return round_doubles(proj.select("row_id", "cluster", a[0].alias("pc1"), a[1].alias("pc2"),
+                                     F.lit(float(ratios[0])).alias("ratio1"), F.lit(float(ratios[1])).alias("ratio2")))
+
+
+@register("h2_random_search")
+def random_search(spark, sf_dir):
+    """H2: seeded random search over a random-forest space, 3 folds, AUC on the leaf-mean score."""
+    from pyspark.ml.regression import RandomForestRegressor
+    from ..operators.tuning import random_search as rs
+    d = vec_table(spark, sf_dir)
+    rf = RandomForestRegressor(featureSubsetStrategy="sqrt", seed=42)
+    space = {rf.numTrees: [10, 20, 40], rf.maxDepth: [3, 5, 8], rf.minInstancesPerNode: [1, 5]}
+    return round_doubles(rs(d, rf, space, n_iter=3, folds=3))
