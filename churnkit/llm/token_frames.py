@@ -140,7 +140,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int
             if out is None:
                 system, inner = _open(path)
                 system.create_dir(inner.rpartition("/")[0], recursive=True)
-                stream = system.open_output_stream(inner)
+                stream = system.open_output_stream(inner, compression=None)
                 out = FrameWriter(stream, width, level)
             tokens, off = enc.encode(*buffers(batch.column(1)), end_id)
             for i, doc_id in enumerate(batch.column(0).to_pylist()):
