@@ -30,3 +30,11 @@ def op3_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  tokenizer_path("word_bpe_49k.json"), end_id=2)
     back = read_token_files(spark, manifest)
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+    kept = remove_repeats(documents(spark, sf_dir), span=100)
+    return kept.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
+                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
