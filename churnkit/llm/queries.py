@@ -38,3 +38,9 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(documents(spark, sf_dir), span=100)
     return kept.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .dart_minhash import near_duplicates
+    return near_duplicates(documents(spark, sf_dir), threshold=0.8).select("doc_id", "class_id")
