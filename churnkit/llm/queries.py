@@ -44,3 +44,9 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .dart_minhash import near_duplicates
     return near_duplicates(documents(spark, sf_dir), threshold=0.8).select("doc_id", "class_id")
+
+
+@query
+def op8_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .swap_packing import pack_documents
+    return pack_documents(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), capacity=1024, end_id=2)
