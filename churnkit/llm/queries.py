@@ -50,3 +50,9 @@ def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .swap_packing import pack_documents
     return pack_documents(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
+@query
+def op5_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repetition_rules import repetition_rules
+    return repetition_rules(documents(spark, sf_dir)).drop("spans")
