@@ -153,7 +153,7 @@ def repetition_statistics(docs: DataFrame, min_words: int = 8, window: int = 5,
 
 
 def repetition_rules(docs: DataFrame, *, min_words: int = 8, window: int = 5, least_words: int = 10, max_window_percent: int = 20,
-                     max_covered_percent: int = 15, max_longest: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                     max_covered_percent: int = 25, max_longest: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The statistics with base_failed (too short, or too many words in repeated windows) and kept.
 
     kept also needs: repeats of ``min_words`` or more cover at most ``max_covered_percent`` of the words'

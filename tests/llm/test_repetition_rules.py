@@ -35,7 +35,7 @@ def brute(text, min_words=8):
     chars = sum(map(len, w))
     cc = sum(len(x) for x, c in zip(w, cov) if c)
     longest = max(reach, default=0)
-    kept = not failed and not (100 * cc > 15 * chars or longest > 40)
+    kept = not failed and not (100 * cc > 25 * chars or longest > 40)
     return (n, chars, len(re.findall(r"[#*$%&|<>]", raw)), dup, rep, cc, longest, spans, failed, kept)
 
 
