@@ -354,11 +354,11 @@ def repeated_windows(numbered: DataFrame, span: int, gram: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, span: int = 100, gram: int = 32, *, id_col: str = "doc_id", text_col: str = "text",
                    carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_bytes, kept (bytes), spans (removed [start, stop) runs) and ``extra``
-    (struct of the ``carry`` columns). With ``as_text`` kept is text, without the characters that a cut splits."""
-    extra = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("struct<none:int>")
+    """One row per document: doc_id, n_bytes, kept (bytes), spans (removed [start, stop) runs) and, where
+    columns are carried, ``extra`` (a struct of them). With ``as_text`` kept is text, without the characters that a cut splits."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-                       extra.alias("extra"))
+                       *([F.struct(*carry).alias("extra")] if carry else []))
+    # used three times below with all its columns, so its exchange is written once and reused
     numbered = (base.withColumn("did", row_id("doc_id", "text"))
                 .withColumn("rank", F.row_number().over(Window.partitionBy("did").orderBy("text"))))
     runs_found = repeated_windows(numbered, span, gram)
@@ -388,10 +388,10 @@ def remove_repeats(docs: DataFrame, span: int = 100, gram: int = 32, *, id_col:
                 out.append((len(raw), kept, [{"start": a, "stop": b} for a, b in spans]))
             n, kept, spans = map(list, zip(*out, strict=True)) if out else ([], [], [])
             yield pa.RecordBatch.from_arrays([column["doc_id"], pa.array(n, pa.int64()), pa.array(kept, kept_type),
-                                              pa.array(spans, span_type), column["extra"]],
-                                             ["doc_id", "n_bytes", "kept", "spans", "extra"])
+                                              pa.array(spans, span_type), *([column["extra"]] if carry else [])],
+                                             ["doc_id", "n_bytes", "kept", "spans", *(["extra"] if carry else [])])
 
     result = numbered.join(per_doc, "did", "left")
-    kind = numbered.schema["extra"].dataType.simpleString()
+    passed = f", extra {numbered.schema['extra'].dataType.simpleString()}" if carry else ""
     return result.mapInArrow(cut, f"doc_id long, n_bytes long, kept {'string' if as_text else 'binary'}, "
-                                  f"spans array<struct<start:bigint,stop:bigint>>, extra {kind}")
+                                  f"spans array<struct<start:bigint,stop:bigint>>{passed}")
