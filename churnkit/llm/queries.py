@@ -56,3 +56,36 @@ def op8_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repetition_rules import repetition_rules
     return repetition_rules(documents(spark, sf_dir)).drop("spans")
+
+
+@query
+def op7_fm_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fm_classifier import classify
+    return classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.7, max_rows=8000)
+
+
+@query
+def op6_winnow_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .winnow_decontam import contamination
+    found = contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+_WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
+ORACLES["op6_winnow_decontam"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+b2 AS (SELECT item_id, w, least(len(w), 13) AS k, unnest(generate_series(1, len(w) - least(len(w), 13) + 1)) AS j FROM b WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, k, array_to_string(w[j:j + k - 1], ' ') AS win FROM b2),
+sizes AS (SELECT DISTINCT k FROM windows),
+d2 AS (SELECT doc_id, k, w, unnest(generate_series(1, len(w) - k + 1)) AS i FROM d, sizes WHERE len(w) >= k),
+hit AS (SELECT DISTINCT doc_id, i, d2.k, item_id FROM d2 JOIN windows ON windows.k = d2.k AND win = array_to_string(w[i:i + d2.k - 1], ' ')),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
