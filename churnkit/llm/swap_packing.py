@@ -90,70 +90,104 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
-    """Empty underfull bins by moves, one-for-one and two-for-one swaps; returns the bins that are left."""
-    fill = np.array([sum(sizes[i] for i in b) for b in bins], np.int64)
-    least = -(-int(fill.sum()) // capacity)             # no packing has fewer bins
-    loose = np.flatnonzero(fill < capacity)
-    held = [bins[b] for b in loose]
-    gap = capacity - fill[loose]
-    item = np.array([i for b in held for i in b], np.int64)
-    home = np.repeat(np.arange(len(held)), [len(b) for b in held])
-    size = np.array([sizes[i] for i in item], np.int64)
-    slot = {int(i): k for k, i in enumerate(item)}
-    closed = len(bins) - len(held)
-
-    def put(k: int, b: int) -> None:
-        a = int(home[k])
-        held[a].remove(int(item[k]))
-        held[b].append(int(item[k]))
-        gap[a] += size[k]
-        gap[b] -= size[k]
-        home[k] = b
-
-    def improve(u: int) -> bool:
-        """One step that takes weight from bin u into a bin at least as full."""
-        own = sorted((slot[i] for i in held[u]), key=lambda k: -size[k])
-        open_gap = np.where(gap < capacity, gap, -1)     # not into empty bins
-        open_gap[u] = -1
-        target = np.where(open_gap[home] > 0, open_gap[home], 0)
-        best = None                                      # (gap left, items of u, item of the other bin or its number)
-        for k in own:
-            fit = np.where(open_gap >= size[k], open_gap, capacity + 1)
-            t = int(fit.argmin())
-            if fit[t] <= capacity:
-                best = min(best or (capacity + 1,), (int(fit[t] - size[k]), (k,), None, t), key=lambda x: x[0])
-        pairs = [(k,) for k in own] + [(own[x], own[y]) for x in range(min(len(own), 6)) for y in range(x)]
-        for give in pairs:
-            if best and best[0] == 0:
-                break
-            delta = sum(int(size[k]) for k in give) - size
-            left = np.where((delta > 0) & (delta <= target), target - delta, capacity + 1)
-            k = int(left.argmin())
-            if left[k] <= capacity and (best is None or left[k] < best[0]):
-                best = (int(left[k]), give, k, int(home[k]))
-        if best is None:
+class _Loose:
+    """Bins with room, indexed so that the best step for a piece is found without looking at all of them.
+
+    ``reach`` of a piece is its size plus the gap of its bin: the largest piece that can take its place. An
+    empty place has size 0, so its reach is the bin's gap; it is kept as the negative number of the bin.
+    """
+
+    def __init__(self, bins: list[list[int]], sizes: list[int], capacity: int):
+        self.bins, self.sizes, self.capacity = bins, sizes, capacity
+        self.gap = [capacity - sum(sizes[i] for i in b) for b in bins]
+        self.home = {i: b for b, members in enumerate(bins) for i in members}
+        self.at: list[set[int]] = [set() for _ in range(capacity + 1)]
+        self.some = 0                                    # bit r: there is a piece or an empty place of reach r
+        for b in range(len(bins)):
+            self.show(b)
+
+    def _keys(self, b: int):
+        if self.bins[b] and self.gap[b]:
+            yield -1 - b, self.gap[b]
+            for i in self.bins[b]:
+                yield i, self.sizes[i] + self.gap[b]
+
+    def show(self, b: int) -> None:
+        for key, reach in self._keys(b):
+            self.at[reach].add(key)
+            self.some |= 1 << reach
+
+    def hide(self, b: int) -> None:
+        for key, reach in self._keys(b):
+            self.at[reach].discard(key)
+            if not self.at[reach]:
+                self.some &= ~(1 << reach)
+
+    def best(self, weight: int, u: int, limit: int) -> tuple[int, int] | None:
+        """(gap left, piece or empty place) where ``weight`` from bin u fits with the least gap left, below limit."""
+        left = self.some >> weight
+        while left:
+            gap_left = (left & -left).bit_length() - 1
+            if gap_left >= limit:
+                return None
+            for key in self.at[weight + gap_left]:
+                b = -1 - key if key < 0 else self.home[key]
+                if b != u and (key < 0 or self.sizes[key] < weight):
+                    return gap_left, key
+            left &= left - 1
+        return None
+
+    def improve(self, u: int) -> bool:
+        """Move one piece, or swap one or two for one, so that a bin becomes fuller than u is now."""
+        own = sorted(self.bins[u], key=lambda i: -self.sizes[i])
+        limit = self.gap[u]                              # the other bin must end fuller: the squares then rise
+        step = None
+        for give in [(i,) for i in own] + [(own[x], own[y]) for x in range(min(len(own), 8)) for y in range(x)]:
+            weight = sum(self.sizes[i] for i in give)
+            if weight > self.capacity:
+                continue
+            found = self.best(weight, u, limit)
+            if found and not (len(give) == 2 and found[1] < 0):
+                limit, step = found[0], (give, found[1])
+                if limit == 0:
+                    break
+        if step is None:
             return False
-        _, give, back, t = best
-        if back is not None:
-            put(back, u)
-        for k in give:
-            put(k, t)
+        give, key = step
+        t = -1 - key if key < 0 else self.home[key]
+        self.hide(u)
+        self.hide(t)
+        for moved, source, target in [(i, u, t) for i in give] + ([(key, t, u)] if key >= 0 else []):
+            self.bins[source].remove(moved)
+            self.bins[target].append(moved)
+            self.home[moved] = target
+            self.gap[source] += self.sizes[moved]
+            self.gap[target] -= self.sizes[moved]
+        self.show(u)
+        self.show(t)
         return True
 
+
+def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
+    """Empty underfull bins by moves, one-for-one and two-for-one swaps; returns the bins that are left."""
+    fill = [sum(sizes[i] for i in b) for b in bins]
+    least = -(-sum(fill) // capacity)                    # no packing has fewer bins
+    full = [b for b, f in zip(bins, fill, strict=True) if f == capacity]
+    loose = _Loose([list(b) for b, f in zip(bins, fill, strict=True) if f < capacity], sizes, capacity)
+    left = len(loose.bins)
     emptied = True
-    while emptied and closed + int((gap < capacity).sum()) > least:
+    while emptied and len(full) + left > least:
         emptied = False
-        for u in np.argsort(-gap, kind="stable").tolist():
-            if gap[u] >= capacity or gap[u] == 0:
+        for u in sorted(range(len(loose.bins)), key=lambda b: -loose.gap[b]):
+            if not loose.bins[u] or loose.gap[u] <= (1 - FULL_ENOUGH) * capacity:
                 continue
-            while held[u] and improve(u):
+            while loose.bins[u] and loose.improve(u):
                 pass
-            emptied |= not held[u]
-            if closed + int((gap < capacity).sum()) <= least:
-                break
-    full = [b for b, f in zip(bins, fill, strict=True) if f == capacity]
-    return full + [b for b in held if b]
+            if not loose.bins[u]:
+                emptied, left = True, left - 1
+                if len(full) + left <= least:
+                    break
+    return full + [b for b in loose.bins if b]
 
 
 def pack_lengths(items: DataFrame, capacity: int) -> DataFrame:
