@@ -89,3 +89,46 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+             ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+@query
+def op10_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .link_trust import filter_urls
+    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _rank_sql(name: str, verdict: str, one: str, two: str, rounds: int = 20) -> str:
+    """Common table expressions of the rounds; ``name``0 are the seeds."""
+    parts = [f"""{name}_steps AS MATERIALIZED (SELECT {one} AS a, {two} AS b, n / sum(n) OVER (PARTITION BY {one}) AS share FROM edges),
+{name}0 AS MATERIALIZED (SELECT host, sum(n) / (SELECT sum(n) FROM hosts WHERE verdict = '{verdict}') AS r FROM hosts WHERE verdict = '{verdict}' GROUP BY host)"""]
+    for k in range(rounds):
+        parts.append(f"""{name}{k + 1} AS MATERIALIZED (SELECT host, sum(r) AS r FROM (
+    SELECT b AS host, r * share * 0.85 AS r FROM {name}{k} JOIN {name}_steps ON host = a UNION ALL SELECT host, r * 0.15 FROM {name}0) GROUP BY host)""")
+    return ",\n".join(parts)
+
+
+_LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_REST = "CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END"
+ORACLES["op10_link_trust"] = rf"""
+WITH u AS MATERIALIZED (SELECT page_id, html, {_LOWERED.format(f"regexp_extract({_REST}, '^([^/?#]*)', 1)")} AS host,
+  regexp_extract({_REST}, '^[^/?#]*([^?#]*)', 1) AS path FROM pages),
+j AS MATERIALIZED (SELECT *, CASE
+  WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+  WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+  WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM u),
+v AS MATERIALIZED (SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS verdict FROM j),
+hosts AS MATERIALIZED (SELECT host, verdict, count(*) AS n FROM v WHERE host <> '' GROUP BY ALL),
+links AS (SELECT host AS source, unnest(list_distinct(regexp_extract_all(html, '(?i)\b(?:href|src)\s*=\s*["'']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^/?#"''\s>]*)', 1))) AS link FROM v),
+edges AS MATERIALIZED (SELECT source, {_LOWERED.format("regexp_extract(link, '//([^/?#]*)$', 1)")} AS target, count(*) AS n FROM links GROUP BY ALL
+  HAVING source <> '' AND target <> '' AND source <> target),
+{_rank_sql("t", "allow", "source", "target")},
+{_rank_sql("d", "block", "target", "source")}
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN coalesce(d20.r, 0) > 0.75 * (coalesce(t20.r, 0) + coalesce(d20.r, 0)) THEN 'block' ELSE 'allow' END) AS verdict
+FROM v LEFT JOIN t20 USING (host) LEFT JOIN d20 USING (host)
+"""
