@@ -132,3 +132,9 @@ edges AS MATERIALIZED (SELECT source, {_LOWERED.format("regexp_extract(link, '//
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN coalesce(d20.r, 0) > 0.75 * (coalesce(t20.r, 0) + coalesce(d20.r, 0)) THEN 'block' ELSE 'allow' END) AS verdict
 FROM v LEFT JOIN t20 USING (host) LEFT JOIN d20 USING (host)
 """
+
+
+@query
+def op4_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .masked_lm import pseudo_likelihood
+    return pseudo_likelihood(documents(spark, sf_dir))
