@@ -138,3 +138,9 @@ FROM v LEFT JOIN t20 USING (host) LEFT JOIN d20 USING (host)
 def op4_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .masked_lm import pseudo_likelihood
     return pseudo_likelihood(documents(spark, sf_dir))
+
+
+@query
+def op9_patience_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .patience_license import best_license, scan_licenses
+    return best_license(scan_licenses(documents(spark, sf_dir), least_coverage=0.8))
