@@ -203,30 +203,33 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", max_rows:
 
 def score(docs: DataFrame, model: FactorisationMachine, *, id_col: str = "doc_id", text_col: str = "text",
           carry: list[str] | None = None) -> DataFrame:
-    """doc_id, text, score of every row (and ``extra``, a struct of the ``carry`` columns)."""
+    """doc_id and score of every row; with ``carry`` also text as it stands and ``extra``, a struct of those columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)      # of fixed size: DIMENSION x (rank + 1) numbers
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                        *([F.struct(*carry).alias("extra")] if carry else []))
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            data, off = buffers(batch.column(1))
+            data, off = buffers(batch.column(1))                  # a null has no bytes
             out = [np.zeros(0)]
             for i, j in blocks(off):
                 z = m.margin(*features(data[off[i]:off[j]], off[i:j + 1] - off[i]), j - i)
                 out.append(1 / (1 + np.exp(-np.clip(z, -60, 60))))
-            columns = [batch.column(0), pa.array(np.concatenate(out))] + ([batch.column(2)] if carry else [])
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score"] + (["extra"] if carry else []))
+            score_column = pa.array(np.concatenate(out))
+            if carry:
+                yield pa.RecordBatch.from_arrays([batch.column(0), score_column, batch.column(1), batch.column(2)], ["doc_id", "score", "text", "extra"])
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column(0), score_column], ["doc_id", "score"])
 
-    passed = f", extra {base.schema['extra'].dataType.simpleString()}" if carry else ""
+    passed = f", text string, extra {base.schema['extra'].dataType.simpleString()}" if carry else ""
     return base.mapInArrow(judge, f"doc_id long, score double{passed}")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_rows: int = 8000, *, id_col: str = "doc_id",
              text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row, by a model fitted on ``labels``."""
+    """doc_id, held_out, score, predicted of every row (text and extra too with ``carry``), by a model fitted on ``labels``."""
     model = train(docs, labels, max_rows=max_rows, id_col=id_col, text_col=text_col)
     scored = score(docs, model, id_col=id_col, text_col=text_col, carry=carry)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
-                         (F.col("score") >= threshold).cast("int").alias("predicted"), *(["extra"] if carry else []))
+                         (F.col("score") >= threshold).cast("int").alias("predicted"), *(["text", "extra"] if carry else []))
