@@ -4,6 +4,8 @@ A byte is removed when it lies in a string of ``span`` bytes (100) that also
 starts earlier: in a smaller document, or in the same one at an earlier place.
 Texts are UTF-8 bytes; strings never cross documents.
 
+0. *Copies.* A text equal to one of a smaller id (by SHA-256) repeats whole, so
+   its suffixes need no sorting.
 1. *Anchors.* In every window of ``span`` bytes the k-gram with the smallest
    hash is the anchor (k = ``gram``), so equal windows have equal anchors at
    equal places. Neighbouring windows share anchors; about one byte in 35 is one.
@@ -40,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytesops import blocks, buffers, mix, prefix_sums, runs, span_hashes
-from .shared import row_id
+from .shared import row_id, staged
 
 #: What a row of the candidate exchange stands for.
 COUNT, REPEATED, SETTLED, RUN = range(4)
@@ -318,8 +320,16 @@ def _bucket(batches: Iterable[pa.RecordBatch], span: int, gram: int) -> Iterator
         yield _found(did[row], rank[row], place[row] - back_first, place[row] - back_last)
 
 
+def later_copies(base: DataFrame) -> DataFrame:
+    """(did, copied): for each id the digests of its texts that a smaller id has too."""
+    held = base.select("did", "digest")
+    first = held.groupBy("digest").agg(F.min("did").alias("first"), F.max("did").alias("last")).where("first < last")
+    later = held.join(first, "digest").where(F.col("did") > F.col("first"))
+    return later.groupBy("did").agg(F.collect_set("digest").alias("copied"))
+
+
 def repeated_windows(numbered: DataFrame, span: int, gram: int) -> DataFrame:
-    """Runs (did, rank, start, stop) of window starts whose ``span`` bytes also start earlier."""
+    """Runs (did, rank, start, stop) of window starts whose ``span`` bytes also start earlier; copies are left out."""
 
     def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("h", pa.int64()), ("did", pa.int64()), ("code", pa.int64())])
@@ -338,7 +348,7 @@ def repeated_windows(numbered: DataFrame, span: int, gram: int) -> DataFrame:
 
     kind = F.shiftright("code", _KIND_BIT).bitwiseAND(15)
     weight = F.when(kind == COUNT, 1).when(kind == REPEATED, 2).otherwise(0)
-    found = numbered.mapInArrow(candidates, "h long, did long, code long")
+    found = numbered.where(~F.col("copy")).mapInArrow(candidates, "h long, did long, code long")
     found = (found.withColumn("times", F.sum(weight).over(Window.partitionBy("h")))
              .where((kind >= SETTLED) | (F.col("times") > 1)))
     per_doc = found.groupBy("did").agg(F.collect_list(F.struct("h", "code")).alias("candidates"))
@@ -352,15 +362,18 @@ def repeated_windows(numbered: DataFrame, span: int, gram: int) -> DataFrame:
             .where(F.col("content").isNull() | (F.col("nth") > 1)).select("did", "rank", "start", "stop"))
 
 
-def remove_repeats(docs: DataFrame, span: int = 100, gram: int = 32, *, id_col: str = "doc_id", text_col: str = "text",
+def remove_repeats(docs: DataFrame, span: int = 100, gram: int = 24, *, id_col: str = "doc_id", text_col: str = "text",
                    carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, kept (bytes), spans (removed [start, stop) runs) and, where
     columns are carried, ``extra`` (a struct of them). With ``as_text`` kept is text, without the characters that a cut splits."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
                        *([F.struct(*carry).alias("extra")] if carry else []))
     # used three times below with all its columns, so its exchange is written once and reused
-    numbered = (base.withColumn("did", row_id("doc_id", "text"))
-                .withColumn("rank", F.row_number().over(Window.partitionBy("did").orderBy("text"))))
+    base = base.withColumn("did", row_id("doc_id", "text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    copies = staged(later_copies(base), "copies")
+    numbered = (base.withColumn("rank", F.row_number().over(Window.partitionBy("did").orderBy("text")))
+                .join(copies, "did", "left").withColumn("copy", F.coalesce(F.array_contains("copied", F.col("digest")), F.lit(False)))
+                .drop("copied"))
     runs_found = repeated_windows(numbered, span, gram)
     per_doc = runs_found.groupBy("did").agg(F.collect_list(F.struct("rank", "start", "stop")).alias("runs"))
     kept_type = pa.string() if as_text else pa.binary()
@@ -370,10 +383,10 @@ def remove_repeats(docs: DataFrame, span: int = 100, gram: int = 32, *, id_col:
         for batch in batches:
             column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             out = []
-            for raw, rank, held in zip(column["text"].cast(pa.binary()).to_pylist(), column["rank"].to_pylist(),
-                                       column["runs"].to_pylist(), strict=True):
-                spans = []
-                for start, stop in sorted((r["start"], r["stop"] + span) for r in held or () if r["rank"] == rank):
+            for raw, rank, copy, held in zip(column["text"].cast(pa.binary()).to_pylist(), column["rank"].to_pylist(),
+                                             column["copy"].to_pylist(), column["runs"].to_pylist(), strict=True):
+                spans = [[0, len(raw)]] if copy and len(raw) >= span else []
+                for start, stop in sorted((r["start"], r["stop"] + span) for r in held or () if r["rank"] == rank and not copy):
                     if spans and start <= spans[-1][1]:
                         spans[-1][1] = max(spans[-1][1], stop)
                     else:

@@ -47,14 +47,14 @@ def corpus(seed, n=60):
 def test_matches_brute_force(spark):
     for seed in range(3):
         rows = corpus(seed)
-        assert run(spark, rows, 100, 32) == brute(rows, 100)
+        assert run(spark, rows, 100, 24) == brute(rows, 100)
         assert run(spark, rows, 24, 8) == brute(rows, 24)
 
 
 def test_ties_nulls_and_repeats(spark):
     t = corpus(9, 5)[0][1] * 3 + "x" * 120
     rows = [(5, t), (5, t), (5, t + "z"), (2, t[7:]), (9, None), (9, "")]
-    assert run(spark, rows, 100, 32) == brute(rows, 100)
+    assert run(spark, rows, 100, 24) == brute(rows, 100)
 
 
 def test_empty_table(spark):
