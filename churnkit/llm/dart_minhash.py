@@ -15,8 +15,8 @@ with a probability of 5e-8.
 *Links.* Equal texts are one node. In each bucket a few hubs are compared
 exactly (Jaccard of the five-word shingle sets) with the members of other
 classes. A hub leaves its bucket after that; a bucket is done when its members
-are of one class. Hubs come from all but a bucket's largest class, twice as
-many in each round, so no link is lost, a group of copies costs one hub instead
+are of one class. Hubs come from all but a bucket's largest class, eight
+times as many in each round, so no link is lost, a group of copies costs one hub instead
 of all its pairs, and no bucket is cut.
 
 *Classes* are connected components of the links, by alternating star steps over
@@ -219,9 +219,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, *, k: int = 128, ba
         new = staged(_linked(pairs, held, size, threshold), "links")
         links = new if links is None else links.union(new)
         tested = pairs if tested is None else tested.union(pairs)
-        classes = components(links)
+        if classes is None or not new.isEmpty():
+            classes = components(links)
         buckets = staged(state.select("key", "node").join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti"), "buckets")
-        hubs_each *= 2
+        hubs_each *= 8
 
     member = signed.join(nodes.select("digest", "node"), "digest").select("did", "doc_id", "node")
     if classes is not None:
