@@ -9,15 +9,18 @@ dart of each coordinate is the signature. Documents agree in a coordinate with
 a probability equal to their weighted Jaccard similarity. Where a coordinate
 stays empty the rank limit is doubled for that document.
 
-*Bands.* 32 bands of 4 coordinates: a pair of similarity 0.8 shares no band
-with a probability of 5e-8.
-
-*Links.* Equal texts are one node. In each bucket a few hubs are compared
-exactly (Jaccard of the five-word shingle sets) with the members of other
-classes. A hub leaves its bucket after that; a bucket is done when its members
-are of one class. Hubs come from all but a bucket's largest class, eight
-times as many in each round, so no link is lost, a group of copies costs one hub instead
-of all its pairs, and no bucket is cut.
+*Bands.* 40 bands of 6 coordinates: a pair of similarity 0.8 shares no band
+with a probability of 5e-6.
+
+*Links.* Equal texts are one node. First every node of a bucket is compared
+exactly (Jaccard of the five-word shingle sets) with the bucket's least node,
+and classes are formed: a group of copies costs one hub instead of all its
+pairs. Then, in buckets that still hold several classes, the signatures of nodes
+of different classes are compared, a byte a coordinate, and only pairs that agree
+in enough of them (five standard deviations below the threshold: a true link is
+missed with a probability of 3e-7) become rows and are compared exactly. Buckets
+of more than ``BLOCK`` nodes are dealt out as pairs of blocks, so no task holds
+more than two blocks, and no bucket is cut.
 
 *Classes* are connected components of the links, by alternating star steps over
 written edge tables.
@@ -37,7 +40,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import U64, buffers, mix, runs, seeded, unit
@@ -47,6 +50,8 @@ from .shingles import jaccard, shingle_blocks
 #: Height of the lowest band of ranks; the others double.
 LOWEST_RANK = 2.0**-6
 _RANK_BITS = 44
+#: Nodes of a bucket whose signatures are compared in one task, at most twice as many.
+BLOCK = 2000
 
 
 @lru_cache(maxsize=512)
@@ -124,25 +129,58 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, k: int, bands: int, size: int, counted: bool) -> DataFrame:
-    """did, digest of the text and band keys (none for a text without words) of each row."""
-    schema = pa.schema([("did", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """did, digest of the text, and for a text with words its band keys and a byte of each coordinate."""
+    schema = pa.schema([("did", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = buffers(batch.column(2))
             keys = np.zeros((batch.num_rows, bands), np.int64)
+            short = np.zeros((batch.num_rows, k), np.uint8)
             filled = np.zeros(batch.num_rows, bool)
-            for i, j, (h, d, n) in shingle_blocks(data, off, size):
+            for i, j, (h, d, n) in shingle_blocks(data, off, size, max_docs=2048):
                 weight = n.astype(float) if counted else np.ones(len(n))
-                keys[i:j] = band_keys(signatures(h, weight, d, j - i, k), bands)
+                sig = signatures(h, weight, d, j - i, k)
+                keys[i:j] = band_keys(sig, bands)
+                short[i:j] = (mix(sig) >> U64(56)).astype(np.uint8)
                 filled[i + d] = True
             raw = memoryview(data)
             digest = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(off[:-1], off[1:], strict=True)]
             ends = np.concatenate(([0], np.cumsum(np.where(filled, bands, 0)))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(
-                pa.array(ends), pa.array(keys[filled].reshape(-1)))], schema=schema)
-
-    return docs.mapInArrow(sign, "did long, doc_id long, digest binary, bands array<bigint>")
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(1), pa.array(digest, pa.binary()),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[filled].reshape(-1))),
+                pa.array([row.tobytes() for row in short], pa.binary())], schema=schema)
+
+    return docs.mapInArrow(sign, "did long, doc_id long, digest binary, bands array<bigint>, sig binary")
+
+
+def _alike(state: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
+    """(a, b), a > b: nodes of one bucket and different classes whose signatures agree in ``least`` coordinates."""
+    count = state.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = (state.join(count, "key").withColumn("own", own)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("key", "node", "root", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+             .join(sigs, "node"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, root, own = (table[c].to_numpy() for c in ("node", "root", "own"))
+        low, high = table["low"][0].as_py(), table["high"][0].as_py()
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(node), -1)
+        rows = np.flatnonzero(own == low)
+        out = [np.zeros((0, 2), np.int64)]
+        for lo in range(0, len(rows), 32):
+            i = rows[lo:lo + 32]
+            agree = (sig[i][:, None, :] == sig[None, :, :]).sum(axis=2)
+            hit = (agree >= least) & (root[i][:, None] != root[None, :]) & (own == high)[None, :]
+            x, y = np.nonzero(hit)
+            pair = np.stack([node[i[x]], node[y]], axis=1)
+            out.append(pair)
+        pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+        return pa.table({"a": pairs[:, 1], "b": pairs[:, 0]})
+
+    return dealt.groupBy("key", "low", "high").applyInArrow(compare, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, name: str = "classes") -> DataFrame:
@@ -178,7 +216,7 @@ def _linked(pairs: DataFrame, held: DataFrame, size: int, threshold: float) -> D
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, *, k: int = 128, bands: int = 32, size: int = 5,
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, *, k: int = 240, bands: int = 40, size: int = 5,
                     weights: str = "set", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, did (the id, or its stand-in), class_id (least did of the class).
 
@@ -187,46 +225,26 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, *, k: int = 128, ba
     """
     base = texts(docs, id_col, text_col).select(row_id("doc_id", "text").alias("did"), "doc_id", "text")
     signed = staged(_signed(base, k, bands, size, weights == "count"), "signed")
-    nodes = signed.groupBy("digest").agg(F.min("did").alias("node"), F.first("bands").alias("bands"))
-    spread = nodes.select("node", F.explode("bands").alias("key"))
-    shared = spread.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
-    buckets = staged(spread.join(shared, "key").select("key", "node").distinct(), "buckets")
+    nodes = signed.groupBy("digest").agg(F.min("did").alias("node"), F.first(F.struct("bands", "sig")).alias("own"))
+    spread = nodes.select("node", F.explode("own.bands").alias("key"))
+    shared = spread.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last")
+    buckets = staged(spread.join(shared, "key").select("key", "node", "hub").distinct(), "buckets")
     wanted = buckets.select("node").distinct()
     held = staged(base.withColumnRenamed("did", "node").join(wanted, "node", "left_semi").select("node", "text").distinct(), "held")
-
-    links, tested, classes, hubs_each = None, None, None, 1
-    while True:
-        if classes is None:
-            state = buckets.withColumn("root", F.col("node"))
-            hubs = buckets.groupBy("key").agg(F.min("node").alias("hub")).withColumn("hub_root", F.col("hub"))
-        else:
-            state = buckets.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            open_keys = state.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-            state = staged(state.join(open_keys, "key").select("key", "node", "root"), "state")
-            sizes = state.groupBy("key", "root").count()
-            largest = sizes.groupBy("key").agg(F.max(F.struct("count", "root")).alias("top")).select("key", F.col("top.root").alias("main"))
-            nth = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-            hubs = (state.join(largest, "key").where("root <> main").withColumn("nth", nth).where(F.col("nth") <= hubs_each)
-                    .select("key", F.col("node").alias("hub"), F.col("root").alias("hub_root")))
-        hubs = staged(hubs, "hubs")
-        pairs = (state.join(hubs, "key").where("root <> hub_root")
-                 .select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct())
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        if pairs.isEmpty() and (classes is not None and state.isEmpty() or classes is None):
-            break
-        new = staged(_linked(pairs, held, size, threshold), "links")
-        links = new if links is None else links.union(new)
-        tested = pairs if tested is None else tested.union(pairs)
-        if classes is None or not new.isEmpty():
-            classes = components(links)
-        buckets = staged(state.select("key", "node").join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti"), "buckets")
-        hubs_each *= 8
+    sigs = nodes.select("node", F.col("own.sig").alias("sig")).join(wanted, "node", "left_semi").dropDuplicates(["node"])
+
+    first = staged(buckets.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
+    links = staged(_linked(first, held, size, threshold), "links")
+    classes = components(links)
+    state = buckets.join(classes, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    several = state.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    state = staged(state.join(several, "key"), "state")
+    least = int(k * threshold - 5 * math.sqrt(k * threshold * (1 - threshold)))
+    rest = staged(_alike(state, sigs, least).join(first, ["a", "b"], "left_anti"), "pairs")
+    more = staged(_linked(rest, held, size, threshold), "links")
+    if not more.isEmpty():
+        classes = components(links.union(more))
 
     member = signed.join(nodes.select("digest", "node"), "digest").select("did", "doc_id", "node")
-    if classes is not None:
-        member = member.join(classes, "node", "left").withColumn("class_id", F.coalesce("root", "node"))
-    else:
-        member = member.withColumn("class_id", F.col("node"))
-    return member.select("doc_id", "did", "class_id")
+    return (member.join(classes, "node", "left")
+            .select("doc_id", "did", F.coalesce("root", "node").alias("class_id")))
