@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import attach
 from .profile import exact_quantiles
 
 
@@ -60,7 +61,7 @@ def silhouette_sqeuclidean(df: DataFrame, cols: Sequence[str], cluster: str = "c
     a = tot(own) / (own["n"] - 1)
     b = F.array_min(others)
     s = F.when(own["n"] <= 1, F.lit(0.0)).otherwise((b - a) / F.greatest(a, b))
-    return pts.agg(F.avg(s).alias("silhouette"))
+    return pts.agg(F.avg(s).alias("silhouette_sq"))
 
 
 def centroids(df: DataFrame, cols: Sequence[str], cluster: str = "cluster") -> DataFrame:
@@ -72,7 +73,7 @@ def davies_bouldin(df: DataFrame, cols: Sequence[str], cluster: str = "cluster")
     """Mean over clusters of max_{l != k} (S_k + S_l) / |mu_k - mu_l| (Euclidean)."""
     cen = centroids(df, cols, cluster)
     pts = df.filter(F.col(cluster) != -1).select(F.col(cluster).alias("cluster"), _vec(cols).alias("x"))
-    scat = (pts.join(cen, "cluster")  # one row per cluster: broadcast by AQE
+    scat = (attach(pts, cen.select("cluster", "mu"), ["cluster"])
             .groupBy("cluster").agg(F.avg(F.sqrt(_sqdist(F.col("x"), F.col("mu")))).alias("S"),
                                     F.first("mu").alias("mu")))
     allc = scat.agg(F.collect_list(F.struct("cluster", "S", "mu")).alias("cs")).scalar()
@@ -88,7 +89,7 @@ def calinski_harabasz(df: DataFrame, cols: Sequence[str], cluster: str = "cluste
     cols = list(cols)
     cen = centroids(df, cols, cluster)
     pts = df.filter(F.col(cluster) != -1).select(F.col(cluster).alias("cluster"), _vec(cols).alias("x"))
-    w = pts.join(cen, "cluster").agg(F.sum(_sqdist(F.col("x"), F.col("mu"))).alias("W"),
+    w = attach(pts, cen.select("cluster", "mu"), ["cluster"]).agg(F.sum(_sqdist(F.col("x"), F.col("mu"))).alias("W"),
                                      F.count(F.lit(1)).alias("N"))
     mvec = pts.agg(F.array(*[F.avg(F.col("x")[i]) for i in range(len(cols))]).alias("m")).scalar()
     b = cen.withColumn("_g", mvec).agg(F.sum(F.col("n") * _sqdist(F.col("mu"), F.col("_g"))).alias("B"),
@@ -136,10 +137,10 @@ def normalized_mutual_info(df: DataFrame, cluster: str = "cluster", label: str =
 
 def quality_row(df: DataFrame, cols: Sequence[str], method: str, cluster: str = "cluster",
                 label: str = "label") -> DataFrame:
-    """Silhouette, Davies-Bouldin, Calinski-Harabasz, ARI, NMI, number of clusters."""
+    """Silhouette (squared distances), Davies-Bouldin, Calinski-Harabasz, ARI, NMI, number of clusters."""
     k = df.filter(F.col(cluster) != -1).agg(F.countDistinct(cluster).alias("n_clusters"))
     parts = {
-        "silhouette": silhouette_sqeuclidean(df, cols, cluster),
+        "silhouette_sq": silhouette_sqeuclidean(df, cols, cluster),
         "davies_bouldin": davies_bouldin(df, cols, cluster),
         "calinski_harabasz": calinski_harabasz(df, cols, cluster),
         "ari": adjusted_rand(df, cluster, label),
@@ -155,7 +156,7 @@ def compare_methods(rows: Sequence[DataFrame]) -> DataFrame:
     u = rows[0]
     for r in rows[1:]:
         u = u.unionByName(r)
-    best = u.agg(F.min_by("model", F.struct(-F.col("silhouette"), F.col("model"))).alias("b")).scalar()
+    best = u.agg(F.min_by("model", F.struct(-F.col("silhouette_sq"), F.col("model"))).alias("b")).scalar()
     return u.withColumn("is_best", (F.col("model") == best).cast("int"))
 
 

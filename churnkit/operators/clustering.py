@@ -1,8 +1,7 @@
-"""Clustering fits.
+"""Clustering fits.
 
 Fits run on Spark ML over all rows. Only fixed-size summaries reach the
-driver: centroids (k x D), mixture parameters, or at most ``max_micro``
-micro-cluster centroids for the Ward merge.
+driver: centroids (k x D) and mixture parameters.
 """
 
 from __future__ import annotations
@@ -10,15 +9,15 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def kmeans_best_of(df: DataFrame, k: int, n_init: int = 10, seed: int = 42, vec: str = "features",
-                   max_iter: int = 20):
+                   max_iter: int = 300):
     """K-means|| restarts with seeds seed..seed+n_init-1; keep the lowest cost."""
     best = None
     for i in range(n_init):
@@ -33,112 +32,57 @@ def kmeans_best_of(df: DataFrame, k: int, n_init: int = 10, seed: int = 42, vec:
 def gaussian_mixture(df: DataFrame, k: int, seed: int = 42, vec: str = "features", max_iter: int = 100):
     """C4 + M19: full-covariance mixture, BIC and AIC.
 
-    p = K*D*(D+1)/2 + K*D + K - 1 free parameters. The log-likelihood is the
-    fit summary's value. k = 1 is not accepted by Spark.
+    p = K*D*(D+1)/2 + K*D + K - 1 free parameters. The log-likelihood is that of
+    the returned weights, means and covariances (the fit summary's belongs to
+    the step before). k = 1 is not accepted by Spark.
     """
     m = GaussianMixture(k=k, seed=seed, featuresCol=vec, maxIter=max_iter).fit(df)
     d = len(df.select(vec).first()[0])
     n = df.count()
     p = k * d * (d + 1) / 2 + k * d + k - 1
-    ll = m.summary.logLikelihood
+    ll = mixture_log_likelihood(df, m, vec)
     info = {"log_likelihood": ll, "bic": -2 * ll + p * math.log(n), "aic": -2 * ll + 2 * p, "n_params": p}
     return m, info, m.transform(df).withColumnRenamed("prediction", "cluster")
 
 
+def mixture_log_likelihood(df: DataFrame, model, vec: str = "features") -> float:
+    """sum over rows of log sum_k w_k N(x; mu_k, S_k), as column expressions over the k x D parameters."""
+    x = vector_to_array(vec)
+    parts = []
+    for w, g in zip(model.weights, model.gaussians, strict=True):
+        mu, cov = g.mean.toArray(), g.cov.toArray()
+        inv, (_, logdet) = np.linalg.inv(cov), np.linalg.slogdet(cov)
+        d = [x[i] - float(mu[i]) for i in range(len(mu))]
+        square = sum((d[i] * d[j] * float(inv[i, j]) for i in range(len(mu)) for j in range(len(mu))), F.lit(0.0))
+        parts.append(F.lit(float(math.log(max(w, 1e-300)) - 0.5 * (logdet + len(mu) * math.log(2 * math.pi)))) - 0.5 * square)
+    top = F.greatest(*parts) if len(parts) > 1 else parts[0]
+    total = sum((F.exp(p - F.col("_top")) for p in parts), F.lit(0.0))
+    return df.withColumn("_top", top).agg(F.sum(F.col("_top") + F.log(total))).first()[0]
+
+
 def pca(df: DataFrame, k: int, vec: str = "features", out: str = "pca"):
     """Centre, project on k components; signs fixed so the largest |loading| is positive."""
     c = StandardScaler(inputCol=vec, outputCol="_c", withMean=True, withStd=False).fit(df).transform(df)
     model = PCA(k=k, inputCol="_c", outputCol="_p").fit(c)
     pc = model.pc.toArray()
     signs = [1.0 if pc[np.argmax(np.abs(pc[:, j])), j] >= 0 else -1.0 for j in range(k)]
-    from pyspark.ml.functions import array_to_vector, vector_to_array
     arr = vector_to_array("_p")
     proj = model.transform(c).withColumn(out, array_to_vector(F.array(*[arr[j] * signs[j] for j in range(k)])))
     return model, list(model.explainedVariance), proj.drop("_c", "_p")
 
 
-def ward_merge(centers: np.ndarray, sizes: np.ndarray):
-    """Weighted Ward agglomeration of (few) micro-cluster centroids.
+def hierarchical(df: DataFrame, k: int, seed: int = 42, vec: str = "features", max_iter: int = 100):
+    """Divisive hierarchical clustering (bisecting k-means) of all rows into k clusters.
 
-    Heights follow Ward linkage: sqrt(2 na nb / (na + nb)) * |ca - cb| at the
-    start, then the Lance-Williams update. Returns the merge list
-    [(step, a, b, height, size)] with new ids m + step. Cost O(m^2) per merge
-    on an m x m matrix, m bounded by the caller.
-    """
-    m = len(centers)
-    c = np.asarray(centers, dtype=float)
-    n = np.asarray(sizes, dtype=float)
-    sq = ((c[:, None, :] - c[None, :, :]) ** 2).sum(-1)
-    d2 = 2 * np.outer(n, n) / (n[:, None] + n[None, :]) * sq
-    np.fill_diagonal(d2, np.inf)
-    ids = list(range(m))
-    active = np.ones(m, dtype=bool)
-    merges = []
-    for step in range(m - 1):
-        masked = np.where(active[:, None] & active[None, :], d2, np.inf)
-        i, j = np.unravel_index(np.argmin(masked), masked.shape)
-        i, j = min(i, j), max(i, j)
-        h = math.sqrt(max(masked[i, j], 0.0))
-        ni, nj = n[i], n[j]
-        nk = n
-        new = ((nk + ni) * d2[i] + (nk + nj) * d2[j] - nk * d2[i, j]) / (nk + ni + nj)
-        a, b = ids[i], ids[j]
-        merges.append((step, a, b, h, int(ni + nj)))
-        d2[i, :] = new
-        d2[:, i] = new
-        d2[i, i] = np.inf
-        n[i] = ni + nj
-        ids[i] = m + step
-        active[j] = False
-    return merges, None
-
-
-def cut_tree(merges, m: int, k: int) -> dict[int, int]:
-    """Micro-cluster -> flat cluster id (0..k-1, ordered by smallest micro id) after m-k merges."""
-    parent = list(range(m))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-    node_members = {i: [i] for i in range(m)}
-    for step, a, b, _, _ in merges[: max(0, m - k)]:
-        node_members[m + step] = node_members.pop(a) + node_members.pop(b)
-    groups = sorted(node_members.values(), key=min)
-    return {mc: gi for gi, g in enumerate(groups) for mc in g}
-
-
-def hierarchical(spark: SparkSession, df: DataFrame, k: int, max_micro: int = 500, seed: int = 42,
-                 vec: str = "features"):
-    """Two-phase Ward clustering (BIRCH idea).
-
-    Phase 1 on Spark: k-means to at most ``max_micro`` micro-clusters.
-    Phase 2 on the driver: Ward merge of those centroids weighted by size
-    (bounded by ``max_micro``, not by the data). Rows get their flat cluster
-    through a join on the micro-cluster id.
+    The agglomerative form merges all pairs on one machine; this one splits the
+    largest cluster again and again, every split a Spark job over all rows.
     """
-    n = df.count()
-    micro = min(max_micro, n)
-    km = KMeans(k=micro, seed=seed, featuresCol=vec, maxIter=20).fit(df)
-    assigned = km.transform(df).withColumnRenamed("prediction", "_micro")
-    sizes_rows = assigned.groupBy("_micro").count().collect()
-    size_map = {r["_micro"]: r["count"] for r in sizes_rows}
-    ids = sorted(size_map)
-    centers = np.array([km.clusterCenters()[i] for i in ids])
-    sizes = np.array([size_map[i] for i in ids])
-    merges, _ = ward_merge(centers, sizes)
-    flat = cut_tree(merges, len(ids), k)
-    mapping = spark.createDataFrame([(int(ids[i]), int(c)) for i, c in flat.items()],
-                                    T.StructType([T.StructField("_micro", T.IntegerType()),
-                                                  T.StructField("cluster", T.IntegerType())]))
-    merge_df = spark.createDataFrame([(int(s), int(a), int(b), float(h), int(z)) for s, a, b, h, z in merges],
-                                     "step int, a int, b int, height double, size int")
-    out = assigned.join(F.broadcast(mapping), "_micro").drop("_micro")  # mapping has <= max_micro rows
-    return merge_df, out
-
-
-def k_search(df: DataFrame, cols, k_range=range(2, 10), seed: int = 42, vec: str = "features", n_init: int = 1):
-    """H6: per k the k-means cost and the scalable quality measures; returns rows for a table."""
+    m = BisectingKMeans(k=k, seed=seed, featuresCol=vec, maxIter=max_iter).fit(df)
+    return m, m.transform(df).withColumnRenamed("prediction", "cluster")
+
+
+def k_search(df: DataFrame, cols, k_range=range(2, 15), seed: int = 42, vec: str = "features", n_init: int = 10):
+    """H6: per k the k-means cost and the scalable quality measures, best k by silhouette flagged; rows for a table."""
     from .cluster_quality import calinski_harabasz, davies_bouldin, silhouette_sqeuclidean
     rows = []
     for k in k_range:
@@ -149,4 +93,5 @@ def k_search(df: DataFrame, cols, k_range=range(2, 10), seed: int = 42, vec: str
         ch = calinski_harabasz(lab, cols).first()[0]
         lab.unpersist()
         rows.append((k, float(cost), float(sil), float(db), float(ch)))
-    return rows
+    best = max(rows, key=lambda r: (r[2], -r[0]), default=(None,))[0]
+    return [(*r, int(r[0] == best)) for r in rows]

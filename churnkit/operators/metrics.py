@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import monotone_bucket, running_totals
+from .ordered import attach, monotone_bucket, running_totals
 
 
 def _div(a, b):
@@ -106,7 +106,7 @@ def roc_curve(preds: DataFrame, by: Sequence[str] = ("model",), label: str = "la
     by = list(by)
     r = _ranked(preds, by, label, score, descending=True, with_next=drop_intermediate)
     tot = r.groupBy(*by).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    r = r.join(tot, by) if by else r.withColumns({c: tot.select(c).scalar() for c in ("_P", "_N")})
+    r = attach(r, tot, by)
     if drop_intermediate:
         first = (F.col("cum_pos") == F.col("pos")) & (F.col("cum_neg") == F.col("neg"))
         last = F.col("next_pos").isNull()
@@ -126,7 +126,7 @@ def pr_curve(preds: DataFrame, by: Sequence[str] = ("model",), label: str = "lab
     by = list(by)
     r = _ranked(preds, by, label, score, descending=True)
     tot = r.groupBy(*by).agg(F.sum("pos").alias("_P"))
-    r = r.join(tot, by) if by else r.withColumn("_P", tot.scalar())
+    r = attach(r, tot, by)
     rec = F.when(F.col("_P") == 0, F.lit(1.0)).otherwise(F.col("cum_pos") / F.col("_P"))
     pts = r.select(*by, F.col(score).cast("double").alias("threshold"),
                    _div(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg")).alias("precision"),

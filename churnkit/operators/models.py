@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml import Pipeline
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
-from pyspark.ml.feature import PolynomialExpansion, StandardScaler
+from pyspark.ml.feature import ElementwiseProduct, PolynomialExpansion, StandardScaler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +34,8 @@ def _prob1():
     return vector_to_array(F.col("probability"))[1]
 
 
-ROWS_PER_PARTITION = 1_000_000
+#: Upper bound of optimiser steps; fits end earlier, when the tolerance is reached.
+MAX_ITER = 1000
 
 
 def train_rows(df: DataFrame) -> DataFrame:
@@ -41,20 +43,13 @@ def train_rows(df: DataFrame) -> DataFrame:
 
 
 def fit_input(df: DataFrame, n: int | None = None) -> tuple[DataFrame, int]:
-    """Train rows sized for iterative fits: about ROWS_PER_PARTITION rows per
-    partition (never more partitions than now; coalesce, no shuffle). Every
-    optimiser iteration is one job, so tiny inputs spread over many tasks
-    pay scheduling cost per iteration, while big inputs keep their parallelism."""
+    """Train rows as they are partitioned, and their number."""
     tr = train_rows(df)
-    n = n if n is not None else tr.count()
-    want = max(1, -(-n // ROWS_PER_PARTITION))
-    if tr.rdd.getNumPartitions() > want:
-        tr = tr.coalesce(want)
-    return tr, n
+    return tr, (n if n is not None else tr.count())
 
 
 def logistic(df: DataFrame, C: float = 1.0, penalty: str = "l2", name: str = "LogisticRegression",
-             max_iter: int = 100, n_train: int | None = None):
+             max_iter: int = MAX_ITER, n_train: int | None = None):
     """L1/L2: scikit-learn's C maps to regParam = 1 / (C * n_train); no feature standardisation."""
     tr, n = fit_input(df, n_train)
     lr = LogisticRegression(regParam=1.0 / (C * n), elasticNetParam=1.0 if penalty == "l1" else 0.0,
@@ -64,7 +59,7 @@ def logistic(df: DataFrame, C: float = 1.0, penalty: str = "l2", name: str = "Lo
 
 
 def elastic_net(df: DataFrame, alpha: float = 0.1, l1_ratio: float = 0.5, name: str = "ElasticNet",
-                max_iter: int = 100):
+                max_iter: int = MAX_ITER):
     """Exact optimum of the elastic-net logistic objective (instead of SGD)."""
     lr = LogisticRegression(regParam=alpha, elasticNetParam=l1_ratio, standardization=False, maxIter=max_iter)
     m = lr.fit(fit_input(df)[0])
@@ -72,15 +67,17 @@ def elastic_net(df: DataFrame, alpha: float = 0.1, l1_ratio: float = 0.5, name:
 
 
 def polynomial_logistic(df: DataFrame, degree: int = 2, C: float = 1.0, name: str = "PolynomialLogistic",
-                        max_iter: int = 100):
-    """Degree-2 expansion, standardised on the train rows, then L2 logistic."""
+                        max_iter: int = MAX_ITER):
+    """Degree-2 expansion, standardised on the train rows (population std, as F1), then L2 logistic."""
     tr, n = fit_input(df)
-    pipe = Pipeline(stages=[
-        PolynomialExpansion(degree=degree, inputCol="features", outputCol="_poly"),
-        StandardScaler(withMean=True, withStd=True, inputCol="_poly", outputCol="_polys"),
-        LogisticRegression(featuresCol="_polys", regParam=1.0 / (C * n), standardization=False,
-                           maxIter=max_iter)])
-    m = pipe.fit(tr)
+    expand = PolynomialExpansion(degree=degree, inputCol="features", outputCol="_poly")
+    scaler = StandardScaler(withMean=True, withStd=True, inputCol="_poly", outputCol="_sample").fit(expand.transform(tr))
+    # Spark divides by the sample std; a common factor turns that into the population std
+    factor = math.sqrt(n / max(n - 1, 1))
+    to_population = ElementwiseProduct(scalingVec=Vectors.dense([factor] * scaler.mean.size), inputCol="_sample", outputCol="_polys")
+    lr = LogisticRegression(featuresCol="_polys", regParam=1.0 / (C * n), standardization=False, maxIter=max_iter)
+    prepared = PipelineModel(stages=[expand, scaler, to_population])
+    m = PipelineModel(stages=[expand, scaler, to_population, lr.fit(prepared.transform(tr))])
     return m, _out(m.transform(df), name, _prob1())
 
 
@@ -136,16 +133,13 @@ def early_stopped_boosting(df: DataFrame, n_trees: int = 100, leaves: int = 31,
     m = GBTClassifier(maxIter=n_trees, maxDepth=depth, stepSize=rate, seed=seed).fit(fit_input(df)[0])
     trees, w = m.trees, m.treeWeights
     val = df.filter(F.col("split") == "val")
-    cols = []
     for i, t in enumerate(trees):
         val = t.setPredictionCol(f"_t{i}").transform(val)
-        cols.append(F.col(f"_t{i}") * w[i])
-    # Cumulative margins of every prefix as one array column, then AUC per prefix in one job.
-    acc, margins = None, []
-    for c in cols:
-        acc = c if acc is None else acc + c
-        margins.append(acc)
-    long = val.select("row_id", "label", F.posexplode(F.array(*margins)).alias("k", "score"))
+    # the margins of all prefixes as one running sum, then the AUC of each prefix in one job
+    steps = F.array(*[F.col(f"_t{i}") * w[i] for i in range(len(trees))])
+    margins = F.aggregate(F.slice(steps, 2, len(trees)), F.slice(steps, 1, 1),
+                          lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + x)))
+    long = val.select("row_id", "label", F.posexplode(margins).alias("k", "score"))
     aucs = {r["model"]: r["auc"] for r in roc_auc(long.withColumnRenamed("k", "model")).collect()}
     best_k, best, since = 0, -1.0, 0
     for k in range(len(trees)):
@@ -157,17 +151,16 @@ def early_stopped_boosting(df: DataFrame, n_trees: int = 100, leaves: int = 31,
             if since >= patience:
                 break
     scored = df
-    acc = None
     for i in range(best_k + 1):
         scored = trees[i].setPredictionCol(f"_t{i}").transform(scored)
-        acc = F.col(f"_t{i}") * w[i] if acc is None else acc + F.col(f"_t{i}") * w[i]
+    acc = F.aggregate(F.array(*[F.col(f"_t{i}") * w[i] for i in range(best_k + 1)]), F.lit(0.0), lambda done, x: done + x)
     prob = 1.0 / (1.0 + F.exp(-2.0 * acc))
     return (m, best_k + 1), _out(scored, name, prob)
 
 
 def adaboost(df: DataFrame, rounds: int = 100, rate: float = 1.0, name: str = "AdaBoost",
              checkpoint_every: int = 10):
-    """SAMME with weighted depth-1 trees.
+    """SAMME with weighted depth-1 trees, the weights of each round persisted.
 
     Each round: weighted stump (regression on 0/1, thresholded at 1/2), error
     by one aggregate, alpha = rate * ln((1 - e) / e), reweight. Stops when
@@ -177,8 +170,8 @@ def adaboost(df: DataFrame, rounds: int = 100, rate: float = 1.0, name: str = "A
     from ..session import cut_lineage
     tr, n = fit_input(df)
     tr = tr.select("row_id", "label", "features")
-    tr = tr.withColumn("w", F.lit(1.0 / n))
-    stumps = []
+    tr = tr.withColumn("w", F.lit(1.0 / n)).persist()
+    held, stumps = [tr], []
     for r in range(rounds):
         st = DecisionTreeRegressor(maxDepth=1, weightCol="w").fit(tr)
         p = st.transform(tr).withColumn("_h", (F.col("prediction") >= 0.5).cast("int"))
@@ -192,8 +185,13 @@ def adaboost(df: DataFrame, rounds: int = 100, rate: float = 1.0, name: str = "A
         stumps.append((st, alpha))
         tr = p.withColumn("w", F.when(F.col("_h") != F.col("label"), F.col("w") * math.exp(alpha))
                           .otherwise(F.col("w"))).drop("prediction", "_h")
-        if (r + 1) % checkpoint_every == 0:
-            tr = cut_lineage(tr)
+        # each round reads the weights of the one before from the cache, and a checkpoint now and then
+        tr = cut_lineage(tr) if (r + 1) % checkpoint_every == 0 else tr.persist()
+        held.append(tr)
+        if len(held) > 2:
+            held.pop(0).unpersist()
+    for t in held:
+        t.unpersist()
     total = sum(a for _, a in stumps) or 1.0
     scored, acc = df, None
     for i, (st, a) in enumerate(stumps):
@@ -204,7 +202,7 @@ def adaboost(df: DataFrame, rounds: int = 100, rate: float = 1.0, name: str = "A
     return stumps, _out(scored, name, score)
 
 
-def linear_svm(df: DataFrame, C: float = 1.0, name: str = "LinearSVM", max_iter: int = 100):
+def linear_svm(df: DataFrame, C: float = 1.0, name: str = "LinearSVM", max_iter: int = MAX_ITER):
     """Hinge-loss linear SVM, regParam = 1 / (C * n); score = decision value."""
     tr, n = fit_input(df)
     m = LinearSVC(regParam=1.0 / (C * n), standardization=False, maxIter=max_iter).fit(tr)
@@ -217,23 +215,19 @@ def coefficients(model, names) -> list[tuple[str, float]]:
     return list(zip(names, [float(x) for x in model.coefficients]))
 
 
-def decision_grid(df: DataFrame, model, f1: str, f2: str, names, step: float = 0.02, margin: float = 1.0,
-                  max_points: int = 1_000_000) -> DataFrame:
+def decision_grid(df: DataFrame, model, f1: str, f2: str, names, step: float = 0.02, margin: float = 1.0) -> DataFrame:
     """Score a dense grid over two features, every other feature 0.
 
     Axes are ``arange(min - margin, max + margin, step)`` per feature; the grid
-    size depends on the value ranges and the step (checked against
-    ``max_points``), not on the number of rows. Points are generated by two
-    explodes from one row of min/max, then scored by ``model``.
+    size depends on the value ranges and the step, not on the number of rows.
+    Points are generated by two explodes from one row of min/max, in parallel.
     """
     from pyspark.ml.feature import VectorAssembler
     mm = df.agg(F.min(f1).alias("a0"), F.max(f1).alias("a1"), F.min(f2).alias("b0"), F.max(f2).alias("b1"))
     r = mm.first()
     na = int(math.ceil((r["a1"] - r["a0"] + 2 * margin) / step))
     nb = int(math.ceil((r["b1"] - r["b0"] + 2 * margin) / step))
-    if na * nb > max_points:
-        raise ValueError(f"grid of {na * nb} points exceeds {max_points}; use a larger step")
-    g = (mm.select(F.explode(F.sequence(F.lit(0), F.lit(na - 1))).alias("i"), "a0", "b0")
+    g = (mm.select(F.explode(F.sequence(F.lit(0), F.lit(na - 1))).alias("i"), "a0", "b0").repartition("i")
          .select("i", "a0", "b0", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("j")))
     g = g.select("i", "j", (F.col("a0") - margin + F.col("i") * step).alias(f1),
                  (F.col("b0") - margin + F.col("j") * step).alias(f2))

@@ -15,6 +15,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def attach(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Add the columns of a per-group aggregate (one row per group) without moving ``df``.
+
+    The aggregate becomes one map, read as a scalar subquery, so the rows of a
+    group with a third of all rows stay where they are. Meant for groups that
+    are few by nature (models, classes, clusters, columns); rows whose group is
+    missing are dropped, as in an inner join.
+    """
+    by = list(by)
+    values = [c for c in small.columns if c not in by]
+    if not by:
+        return df.withColumns({c: small.select(c).scalar() for c in values})
+    entry = F.struct(F.struct(*by).alias("k"), F.struct(*values).alias("v"))
+    table = small.agg(F.map_from_entries(F.collect_list(entry))).scalar()
+    out = df.withColumn("_group", F.element_at(table, F.struct(*[F.col(c).alias(c) for c in by])))
+    return out.where(F.col("_group").isNotNull()).withColumns({c: F.col("_group")[c] for c in values}).drop("_group")
+
+
 def quantile_bucket(df: DataFrame, by: Sequence[str], col: str, n_buckets: int = 64,
                     accuracy: int = 10000) -> DataFrame:
     """Adds ``_qbk`` = number of approximate quantile cuts of ``col`` below the value.
@@ -25,10 +43,7 @@ def quantile_bucket(df: DataFrame, by: Sequence[str], col: str, n_buckets: int =
     by = list(by)
     probs = [i / n_buckets for i in range(1, n_buckets)]
     cuts = df.groupBy(*by).agg(F.percentile_approx(col, probs, accuracy).alias("_qb"))
-    if by:
-        d = df.join(cuts, by)
-    else:
-        d = df.withColumn("_qb", cuts.scalar())
+    d = attach(df, cuts, by)
     return d.withColumn("_qbk", F.size(F.filter("_qb", lambda q: q < F.col(col)))).drop("_qb")
 
 

@@ -45,20 +45,12 @@ def clean(df: DataFrame, charges: str = "TotalCharges", fill: float | None = 0.0
     return out.drop(*[c for c in drop if c in df.columns])
 
 
-def fit_levels(df: DataFrame, cols: Sequence[str], max_levels: int = 1000) -> dict[str, list[str]]:
-    """Sorted distinct levels per column, found with one distributed aggregate.
+def fit_levels(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
+    """Sorted distinct levels per column, found with one distributed aggregate a column.
 
-    Only the level lists reach the driver; a column with more than
-    ``max_levels`` levels is an error rather than a silent wide table.
+    Only the level lists, which become the columns of the encoded table, reach the driver.
     """
-    # Cardinality first (HyperLogLog, fixed-size buffer), so that collect_set
-    # never builds an unbounded buffer for a free-text column.
-    est = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
-    too_many = [c for c in cols if est[c] > max_levels]
-    if too_many:
-        raise ValueError(f"too many levels for one-hot: {too_many}")
-    row = df.agg(*[F.array_sort(F.collect_set(F.col(c))).alias(c) for c in cols]).first()
-    return {c: list(row[c]) for c in cols}
+    return {c: sorted(r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().collect()) for c in cols}
 
 
 def encode(df: DataFrame, levels: Mapping[str, Sequence[str]] | None = None) -> DataFrame:

@@ -12,16 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import monotone_bucket, running_totals
-
-
-def attach(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Add the columns of a per-group aggregate: a key join, or scalar
-    subqueries when the aggregate has no group (one row)."""
-    by = list(by)
-    if by:
-        return df.join(small, by)
-    return df.withColumns({c: small.select(c).scalar() for c in small.columns})
+from .ordered import attach, monotone_bucket, running_totals
 
 
 def stack(df: DataFrame, cols: Sequence[str], cast: str | None = "double", keep: Sequence[str] = (),
@@ -46,7 +37,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     vc = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     r = running_totals(vc, ["column"], ["value"], ["n"], monotone_bucket("value"))
     tot = vc.groupBy("column").agg(F.sum("n").alias("_total"))
-    r = r.join(tot, "column")
+    r = attach(r, tot, ["column"])
     aggs = []
     for i, p in enumerate(probs):
         pos = F.lit(float(p)) * (F.col("_total") - 1)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import attach
+
 
 class Standardizer:
     """Mean and population std from the fitting rows, applied everywhere.
@@ -48,16 +50,11 @@ def standardize(df: DataFrame, cols: Sequence[str], fit_on=None) -> DataFrame:
 def minmax(df: DataFrame, col: str, name: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """(x - min) / (max - min) per group; a constant column gives null.
 
-    The min/max are a grouped aggregate joined back by the group key (one row
-    per group), or scalar subqueries when there is no group.
+    The min/max are a grouped aggregate, read by every row as a map (one entry
+    per group), so no row moves.
     """
     name = name or col
     by = list(by)
-    if by:
-        mm = df.groupBy(*by).agg(F.min(col).alias("_mn"), F.max(col).alias("_mx"))
-        d = df.join(mm, by)
-    else:
-        mm = df.agg(F.min(col).alias("_mn"), F.max(col).alias("_mx"))
-        d = df.withColumns({"_mn": mm.select("_mn").scalar(), "_mx": mm.select("_mx").scalar()})
+    mm = df.groupBy(*by).agg(F.min(col).alias("_mn"), F.max(col).alias("_mx"))
     scaled = (F.col(col) - F.col("_mn")) / F.nullif(F.col("_mx") - F.col("_mn"), F.lit(0.0))
-    return d.withColumn(name, scaled).drop("_mn", "_mx")
+    return attach(df, mm, by).withColumn(name, scaled).drop("_mn", "_mx")

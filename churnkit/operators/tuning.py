@@ -8,6 +8,7 @@ candidate sees the same rows; candidates are fitted in parallel threads by
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -18,10 +19,11 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import models as MD
 from .ensemble import pivot_predictions
 from .metrics import roc_auc
-from .split import growing_prefixes, stratified_folds
+from .split import class_rank, stratified_folds
 
 
 def with_folds(df: DataFrame, folds: int, seed: int = 42) -> DataFrame:
@@ -33,7 +35,7 @@ def grid_search_logistic(df: DataFrame, Cs: Sequence[float], folds: int = 5, par
     """H1: CV AUC per C (regParam = 1 / (C n)); the best (first strict maximum) is flagged."""
     tr = with_folds(df, folds).persist()
     n = tr.count()
-    lr = LogisticRegression(standardization=False, maxIter=20)
+    lr = LogisticRegression(standardization=False, maxIter=MD.MAX_ITER)
     grid = ParamGridBuilder().addGrid(lr.regParam, [1.0 / (c * n) for c in Cs]).build()
     ev = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", metricName="areaUnderROC", numBins=0)
     cvm = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=ev, numFolds=folds, foldCol="fold",
@@ -60,16 +62,30 @@ def _fold_fits(tr: DataFrame, folds: int, fit):
 
 
 DEFAULT_FAMILIES = {
-    "LogisticRegression": lambda d: MD.logistic(d, max_iter=20),
-    "LinearSVM": lambda d: MD.linear_svm(d, max_iter=20),
+    "LogisticRegression": lambda d: MD.logistic(d),
+    "LinearSVM": lambda d: MD.linear_svm(d),
+    "DecisionTree": lambda d: MD.decision_tree(d, 5),
+}
+
+#: The five base models of the stacked ensemble.
+STACKED_FAMILIES = {
+    "LogisticRegression": lambda d: MD.logistic(d),
+    "RandomForest": lambda d: MD.random_forest(d),
+    "GradientBoosting": lambda d: MD.gradient_boosting(d),
+    "LinearSVM": lambda d: MD.linear_svm(d),
     "DecisionTree": lambda d: MD.decision_tree(d, 5),
 }
 
 
+def fold_table(df: DataFrame, folds: int) -> DataFrame:
+    """``with_folds`` written once to the shared checkpoint folder: read by every fit, held by no cache."""
+    return cut_lineage(with_folds(df, folds))
+
+
 def cv_auc(df: DataFrame, folds: int = 5, families=None) -> DataFrame:
     """H3/H4: AUC of every fold, mean and population std per model."""
     families = families or DEFAULT_FAMILIES
-    tr = with_folds(df, folds).persist()
+    tr = fold_table(df, folds)
     allp = None
     for name, fit in families.items():
         p = _fold_fits(tr, folds, fit).withColumn("model", F.lit(name))
@@ -80,30 +96,31 @@ def cv_auc(df: DataFrame, folds: int = 5, families=None) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("fold", "auc"))), lambda s: s["auc"]).alias("fold_auc"))
 
 
-def learning_curve(df: DataFrame, fractions=(0.1, 0.25, 0.5, 0.75, 1.0), max_iter: int = 50) -> DataFrame:
-    """H5: for growing hash-order prefixes of the train rows, train and validation AUC."""
-    tr = MD.train_rows(df)
-    pref = growing_prefixes(tr.select("row_id"), fractions).persist()
-    rows = []
+def learning_curve(df: DataFrame, fractions=tuple(i / 10 for i in range(1, 11)), max_iter: int = MD.MAX_ITER) -> DataFrame:
+    """H5: for growing hash-order prefixes of the train rows, train and validation AUC.
+
+    Rows are ranked once; a prefix is a filter on the rank.
+    """
+    ranked = cut_lineage(class_rank(MD.train_rows(df), None))
+    n = ranked.count()
+    val = df.filter(F.col("split") == "val")
+    out = None
     for f in fractions:
-        keep = pref.filter(F.col("fraction") == float(f)).select("row_id")
-        sub = df.join(keep.withColumn("_k", F.lit(1)), "row_id", "left").filter(
-            (F.col("split") != "train") | F.col("_k").isNotNull()).drop("_k")
-        _, p = MD.logistic(sub, max_iter=max_iter)
-        a = {r["split"]: r["auc"] for r in roc_auc(p.filter(F.col("split").isin("train", "val")), ["split"]).collect()}
-        n = keep.count()
-        rows.append((float(f), int(n), a.get("train"), a.get("val")))
-    pref.unpersist()
-    return df.sparkSession.createDataFrame(rows, "fraction double, n_train long, train_auc double, val_auc double")
+        size = int(Fraction(str(f)) * n)
+        sub = ranked.filter(F.col("_rank") <= size).drop("_rank").unionByName(val)
+        p = MD.logistic(sub, max_iter=max_iter, n_train=size)[1].withColumns({"fraction": F.lit(float(f)), "n_train": F.lit(size).cast("long")})
+        out = p if out is None else out.unionByName(p)
+    auc = roc_auc(out, ["fraction", "n_train", "split"])
+    return auc.groupBy("fraction", "n_train").agg(F.max(F.when(F.col("split") == "train", F.col("auc"))).alias("train_auc"),
+                                                  F.max(F.when(F.col("split") == "val", F.col("auc"))).alias("val_auc"))
 
 
 def stacking(df: DataFrame, folds: int = 5, families=None, name: str = "Stacking Ensemble") -> DataFrame:
     """Out-of-fold base scores on the train rows -> logistic meta-model;
     base models refitted on all train rows score val/test."""
-    families = families or {"LogisticRegression": DEFAULT_FAMILIES["LogisticRegression"],
-                            "DecisionTree": DEFAULT_FAMILIES["DecisionTree"]}
+    families = families or STACKED_FAMILIES
     names = list(families)
-    tr = with_folds(df, folds).persist()
+    tr = fold_table(df, folds)
     oof, full = None, None
     for nm, fit in families.items():
         p = _fold_fits(tr, folds, fit).withColumn("model", F.lit(nm)).withColumn("split", F.lit("train"))
@@ -113,11 +130,11 @@ def stacking(df: DataFrame, folds: int = 5, families=None, name: str = "Stacking
         full = q if full is None else full.unionByName(q)
     cols = ["row_id", "label", "split", "model", "score"]
     allp = oof.select(*cols).unionByName(full.select(*cols))
+    allp = cut_lineage(allp)                # all base scores, computed once
     wide = pivot_predictions(allp, names, value="score", key=("row_id", "label", "split"))
     va = VectorAssembler(inputCols=names, outputCol="_meta").transform(wide)
-    meta = LogisticRegression(featuresCol="_meta", maxIter=20).fit(va.filter(F.col("split") == "train"))
+    meta = LogisticRegression(featuresCol="_meta", maxIter=MD.MAX_ITER).fit(va.filter(F.col("split") == "train"))
     s = meta.transform(va)
-    tr.unpersist()
     return s.select("row_id", "label", "split", F.lit(name).alias("model"),
                     vector_to_array("probability")[1].alias("score"),
                     F.col("prediction").cast("int").alias("prediction"))
@@ -139,8 +156,10 @@ def isotonic_calibration(df: DataFrame, folds: int = 3, fit=None, name: str = "L
     for f in range(folds):
         inner = val.withColumn("split", F.when(F.col("fold") == f, "cal").otherwise("train")).drop("fold")
         _, p = fit(inner.unionByName(test))
-        iso = IsotonicRegression(featuresCol="score", labelCol="label", predictionCol="cal_score").fit(
-            p.filter(F.col("split") == "cal"))
+        # one weighted point per distinct score: the fit's last step pools on the driver
+        pooled = (p.filter(F.col("split") == "cal").groupBy("score")
+                  .agg(F.avg(F.col("label").cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight")))
+        iso = IsotonicRegression(featuresCol="score", labelCol="label", predictionCol="cal_score", weightCol="weight").fit(pooled)
         t = iso.transform(p.filter(F.col("split") == "test")).select("row_id", "label", "cal_score")
         cal = t if cal is None else cal.unionByName(t)
     avg = cal.groupBy("row_id", "label").agg(F.avg("cal_score").alias("score")).withColumn("model", F.lit(name))
@@ -150,7 +169,7 @@ def isotonic_calibration(df: DataFrame, folds: int = 3, fit=None, name: str = "L
                     (F.col("auc_after") - F.col("auc_before")).alias("improvement")))
 
 
-def random_search(df: DataFrame, estimator, space: dict, n_iter: int = 10, folds: int = 5, seed: int = 42,
+def random_search(df: DataFrame, estimator, space: dict, n_iter: int = 50, folds: int = 5, seed: int = 42,
                   score_col: str = "prediction", parallelism: int = 4) -> DataFrame:
     """H2: ``n_iter`` draws without replacement from the product of ``space``
     (param -> list of values, seeded), cross-validated on exact stratified folds.

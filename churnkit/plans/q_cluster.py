@@ -38,7 +38,7 @@ SIL = (", pr AS (SELECT a.row_id, a.cluster AS ca, b.cluster AS cb2,"
        " FROM v a JOIN v b ON a.row_id <> b.row_id GROUP BY a.row_id, a.cluster, b.cluster)"
        ", sl AS (SELECT row_id, max(CASE WHEN ca = cb2 THEN d / n END) AS a,"
        " min(CASE WHEN ca <> cb2 THEN d / n END) AS b FROM pr GROUP BY row_id)"
-       ", sil AS (SELECT avg(CASE WHEN a IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM sl)")
+       ", sil AS (SELECT avg(CASE WHEN a IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END) AS silhouette_sq FROM sl)")
 CEN = ", cen AS (SELECT cluster, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2 FROM v GROUP BY cluster)"
 DB = (CEN + ", sc AS (SELECT cluster, avg(sqrt((x1 - m1) * (x1 - m1) + (x2 - m2) * (x2 - m2))) AS S,"
       " any_value(m1) AS m1, any_value(m2) AS m2 FROM v JOIN cen USING (cluster) GROUP BY cluster)"
@@ -67,7 +67,7 @@ NMI = (", nn AS (SELECT CAST(sum(nij) AS DOUBLE) AS n FROM ct)"
        " END AS nmi FROM mi, ha, hb)")
 
 
-@register("m14_silhouette_sqeuclidean", cb_sql(PT + v_sql() + SIL + " SELECT round(silhouette, 6) AS silhouette FROM sil"))
+@register("m14_silhouette_sqeuclidean", cb_sql(PT + v_sql() + SIL + " SELECT round(silhouette_sq, 6) AS silhouette_sq FROM sil"))
 def m14(spark, sf_dir):
     return round_doubles(Q.silhouette_sqeuclidean(points(spark, sf_dir), XY))
 
@@ -95,7 +95,7 @@ def m18(spark, sf_dir):
 
 def _quality_sql(col, name):
     body = v_sql(col) + SIL + DB + CH + ARI + NMI
-    return (body + f", q_{name} AS (SELECT '{name}' AS model, round(silhouette, 6) AS silhouette,"
+    return (body + f", q_{name} AS (SELECT '{name}' AS model, round(silhouette_sq, 6) AS silhouette_sq,"
             " round(davies_bouldin, 6) AS davies_bouldin, round(calinski_harabasz, 6) AS calinski_harabasz,"
             " round(ari, 6) AS ari, round(nmi, 6) AS nmi, (SELECT count(DISTINCT cluster) FROM v) AS n_clusters"
             " FROM sil, dbi, chi, arix, nmix)")
@@ -114,7 +114,7 @@ def _quality_sub(col, name):
 @register("c8_compare_methods", cb_sql(
     PT + ", u AS (SELECT * FROM " + _quality_sub("cluster", "tenure_bands") + " UNION ALL SELECT * FROM "
     + _quality_sub("cluster_b", "charge_bands") + ")"
-    " SELECT u.*, CAST(model = (SELECT first(model ORDER BY silhouette DESC, model) FROM u) AS INTEGER) AS is_best FROM u"))
+    " SELECT u.*, CAST(model = (SELECT first(model ORDER BY silhouette_sq DESC, model) FROM u) AS INTEGER) AS is_best FROM u"))
 def c8(spark, sf_dir):
     p = points(spark, sf_dir)
     rows = [Q.quality_row(p, XY, "tenure_bands"),

@@ -7,25 +7,23 @@ in the driver and property tests in tests/.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import KMeans
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators import clustering as CL
 from ..operators import kernels as K
 from ..operators import models as MD
 from ..operators.ensemble import comparison_table, final_report
 from ..operators.metrics import model_table, roc_auc
-from .fixtures import cb_sql, churn_base
+from ..session import cut_lineage
+from .fixtures import PSEUDO_CLUSTER_SQL, cb_sql, churn_base
 from .pipeline import churn_features, with_vector
 from .registry import register, round_doubles
 from .sqltext import features_cte
 
-FAST = {"max_iter": 20}
-
 
 def vec_table(spark, sf_dir):
     return with_vector(churn_features(spark, sf_dir, scale=True))
@@ -44,9 +42,8 @@ def _single(df, col, out="x"):
     " avg(CASE WHEN x = 1 THEN CAST(label AS DOUBLE) END) AS p1 FROM d)"
     " SELECT round(ln(p0 / (1 - p0)), 4) AS intercept, round(ln(p1 / (1 - p1)) - ln(p0 / (1 - p0)), 4) AS coef FROM p"))
 def l1_closed(spark, sf_dir):
-    """L1 with one 0/1 feature and no penalty: intercept = logit(p0), w = logit(p1) - logit(p0)."""
-    tr = churn_features(spark, sf_dir, scale=False).filter(F.col("split") == "train")
-    m = LogisticRegression(regParam=0.0, standardization=False, tol=1e-10, maxIter=200).fit(_single(tr, "Partner"))
+    """L1 with one 0/1 feature and a vanishing penalty: intercept = logit(p0), w = logit(p1) - logit(p0)."""
+    m, _ = MD.logistic(_single(churn_features(spark, sf_dir, scale=False), "Partner"), C=1e9)
     return spark.createDataFrame([(round(float(m.intercept), 4), round(float(m.coefficients[0]), 4))],
                                  "intercept double, coef double")
 
@@ -60,12 +57,8 @@ def l1_closed(spark, sf_dir):
     " SELECT round(sxy / (sxx + 1.0), 6) AS coef, round(my - sxy / (sxx + 1.0) * mx, 6) AS intercept FROM s"))
 def l4_closed(spark, sf_dir):
     """L4 with one feature: w = Sxy / (Sxx + alpha), alpha = 1."""
-    tr = churn_features(spark, sf_dir, scale=False).filter(F.col("split") == "train")
-    d = _single(tr.withColumn("tenure_d", F.col("tenure").cast("double")), "tenure_d").withColumn(
-        "_pm1", F.col("label") * 2.0 - 1.0)
-    st = d.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("_pm1").alias("sd")).first()
-    m = LinearRegression(labelCol="_pm1", solver="normal", regParam=1.0 * st["sd"] / st["n"],
-                         standardization=False).fit(d)
+    f = churn_features(spark, sf_dir, scale=False).withColumn("tenure_d", F.col("tenure").cast("double"))
+    m, _ = MD.ridge_classifier(_single(f, "tenure_d"), alpha=1.0)
     return spark.createDataFrame([(round(float(m.coefficients[0]), 6), round(float(m.intercept), 6))],
                                  "coef double, intercept double")
 
@@ -82,9 +75,9 @@ def l4_closed(spark, sf_dir):
     " nr AS n_right FROM g ORDER BY score DESC, t LIMIT 1"))
 def l7_stump(spark, sf_dir):
     """L7 depth 1 (regression form on 0/1): best variance split and the two leaf means."""
-    tr = churn_features(spark, sf_dir, scale=False).filter(F.col("split") == "train")
-    d = _single(tr.withColumn("sc", F.col("ServiceCount").cast("double")), "sc")
-    m = DecisionTreeRegressor(maxDepth=1).fit(d)
+    f = _single(churn_features(spark, sf_dir, scale=False).withColumn("sc", F.col("ServiceCount").cast("double")), "sc")
+    m, _ = MD.decision_tree(f, max_depth=1)
+    d = MD.train_rows(f)
     thr = float(m._call_java("rootNode").split().threshold())
     out = d.select(F.when(F.col("sc") <= thr, "l").otherwise("r").alias("side"), F.col("label").cast("double").alias("y"))
     g = out.groupBy("side").agg(F.avg("y").alias("m"), F.count(F.lit(1)).alias("n")).collect()
@@ -126,12 +119,12 @@ def f4_pca(spark, sf_dir):
 
 def _linear_family(spark, sf_dir):
     d = vec_table(spark, sf_dir)
-    parts = [MD.logistic(d, 1.0, "l2", "LogisticRegression", **FAST)[1],
-             MD.logistic(d, 0.1, "l1", "LogisticRegression_L1", **FAST)[1],
-             MD.elastic_net(d, **FAST)[1],
+    parts = [MD.logistic(d, 1.0, "l2", "LogisticRegression")[1],
+             MD.logistic(d, 0.1, "l1", "LogisticRegression_L1")[1],
+             MD.elastic_net(d)[1],
              MD.ridge_classifier(d)[1],
-             MD.polynomial_logistic(d, **FAST)[1],
-             MD.linear_svm(d, **FAST)[1]]
+             MD.polynomial_logistic(d)[1],
+             MD.linear_svm(d)[1]]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -150,7 +143,7 @@ def tree_models(spark, sf_dir):
     """Validation AUC next to test metrics."""
     from ..operators.metrics import val_test_table
     d = vec_table(spark, sf_dir)
-    p = MD.decision_tree(d, 5)[1].unionByName(MD.random_forest(d, 30, 8)[1])
+    p = MD.decision_tree(d, 5)[1].unionByName(MD.random_forest(d)[1])
     return round_doubles(val_test_table(p))
 
 
@@ -158,16 +151,16 @@ def tree_models(spark, sf_dir):
 def boosting_models(spark, sf_dir):
     """L9 gradient boosting, L10 subsampled variant, L11 early-stopped prefix."""
     d = vec_table(spark, sf_dir)
-    p = (MD.gradient_boosting(d, 30, 3, 0.1)[1]
-         .unionByName(MD.gradient_boosting(d, 30, 3, 0.1, subsample=0.8, name="XGBoost")[1])
-         .unionByName(MD.early_stopped_boosting(d, 30, 8, 0.1, patience=5)[1]))
+    p = (MD.gradient_boosting(d)[1]
+         .unionByName(MD.gradient_boosting(d, subsample=0.8, name="XGBoost")[1])
+         .unionByName(MD.early_stopped_boosting(d)[1]))
     return round_doubles(model_table(p.filter(F.col("split") == "test")))
 
 
 @register("l12_adaboost")
 def adaboost(spark, sf_dir):
     d = vec_table(spark, sf_dir)
-    _, p = MD.adaboost(d, rounds=10)
+    _, p = MD.adaboost(d)
     return round_doubles(model_table(p.filter(F.col("split") == "test")))
 
 
@@ -175,8 +168,8 @@ def adaboost(spark, sf_dir):
 def kernel_svms(spark, sf_dir):
     """L14 kernel map + linear SVM for rbf, poly, sigmoid; L15 on PCA; L16 Platt probabilities."""
     d = vec_table(spark, sf_dir)
-    parts = [K.kernel_svm(d, k, m=100, max_iter=20)[1] for k in ("rbf", "poly", "sigmoid")]
-    parts.append(K.svm_with_pca(d, k=10, m=100, max_iter=20)[1])
+    parts = [K.kernel_svm(d, k)[1] for k in ("rbf", "poly", "sigmoid")]
+    parts.append(K.svm_with_pca(d, k=10)[1])
     parts.append(K.platt(parts[0]))
     out = parts[0]
     for p in parts[1:]:
@@ -186,10 +179,10 @@ def kernel_svms(spark, sf_dir):
 
 @register("h1_grid_search")
 def grid_search(spark, sf_dir):
-    """H1: exhaustive grid over C for L2 logistic, 3 stratified folds (W2), AUC; best refit on all train."""
+    """H1: exhaustive grid over C for L2 logistic, 5 stratified folds (W2), AUC; the best is flagged."""
     from ..operators.tuning import grid_search_logistic
     d = vec_table(spark, sf_dir)
-    return round_doubles(grid_search_logistic(d, [0.01, 0.1, 1.0, 10.0], folds=3))
+    return round_doubles(grid_search_logistic(d, [0.001, 0.01, 0.1, 1.0, 10.0, 100.0], folds=5))
 
 
 @register("h3_cv_scores")
@@ -197,28 +190,28 @@ def cv_scores(spark, sf_dir):
     """H3/H4: per-fold AUC, mean and std (ddof 0) for several models."""
     from ..operators.tuning import cv_auc
     d = vec_table(spark, sf_dir)
-    return round_doubles(cv_auc(d, folds=3))
+    return round_doubles(cv_auc(d, folds=5))
 
 
 @register("h5_learning_curve")
 def learning_curve(spark, sf_dir):
     from ..operators.tuning import learning_curve as lc
     d = vec_table(spark, sf_dir)
-    return round_doubles(lc(d, fractions=(0.25, 0.5, 0.75, 1.0)))
+    return round_doubles(lc(d))
 
 
 @register("e2_stacking")
 def stacking(spark, sf_dir):
     from ..operators.tuning import stacking as st
     d = vec_table(spark, sf_dir)
-    return round_doubles(model_table(st(d, folds=3).filter(F.col("split") == "test")))
+    return round_doubles(model_table(st(d, folds=5).filter(F.col("split") == "test")))
 
 
 @register("e5_isotonic_calibration")
 def calibration(spark, sf_dir):
     from ..operators.tuning import isotonic_calibration
     d = vec_table(spark, sf_dir)
-    return round_doubles(isotonic_calibration(d, folds=3))
+    return round_doubles(isotonic_calibration(d))
 
 
 @register("c4_gmm_bic_aic")
@@ -229,26 +222,19 @@ def gmm(spark, sf_dir):
     d = VectorAssembler(inputCols=["x1", "x2"], outputCol="features").transform(b)
     rows = []
     for k in (2, 3):
-        _, info, _ = CL.gaussian_mixture(d, k, max_iter=20)
+        _, info, _ = CL.gaussian_mixture(d, k)
         rows.append((k, info["log_likelihood"], info["bic"], info["aic"], int(info["n_params"])))
     return round_doubles(spark.createDataFrame(rows, "k int, log_likelihood double, bic double, aic double, n_params int"))
 
 
-@register("c2_c5_hierarchical")
+@register("c2_hierarchical_segments")
 def hierarchical(spark, sf_dir):
-    """C2 two-phase Ward (k = 2) and C9 segments of its clusters; C5 merge list sizes in the log."""
+    """C2 (divisive form, k = 2) on the scaled features and C9 segments of its clusters, averages in raw units."""
     from ..operators.cluster_quality import segments
     f = vec_table(spark, sf_dir).filter(F.col("split").isin("train", "val"))
-    merges, lab = CL.hierarchical(spark, f, 2, max_micro=60)
-    return round_doubles(segments(lab))
-
-
-@register("c5_dendrogram_tail")
-def dendrogram(spark, sf_dir):
-    """Last 30 merges of the Ward tree over the micro-clusters (step, a, b, height, size)."""
-    f = vec_table(spark, sf_dir).filter(F.col("split").isin("train", "val"))
-    merges, _ = CL.hierarchical(spark, f, 2, max_micro=60)
-    return round_doubles(merges.orderBy(F.col("step").desc()).limit(30))
+    _, lab = CL.hierarchical(f, 2)
+    raw = churn_features(spark, sf_dir, scale=False)
+    return round_doubles(segments(raw.join(lab.select("row_id", "cluster"), "row_id")))
 
 
 @register("c1_c8_h6_k_search")
@@ -256,9 +242,9 @@ def k_search(spark, sf_dir):
     """H6: k-means cost and scalable quality per k on the feature table (train + val)."""
     from ..operators.prep import feature_columns
     f = vec_table(spark, sf_dir).filter(F.col("split").isin("train", "val"))
-    rows = CL.k_search(f, feature_columns(), k_range=range(2, 6))
-    return round_doubles(spark.createDataFrame(rows, "k int, inertia double, silhouette double, "
-                                               "davies_bouldin double, calinski_harabasz double"))
+    rows = CL.k_search(f, feature_columns())
+    return round_doubles(spark.createDataFrame(rows, "k int, inertia double, silhouette_sq double, "
+                                               "davies_bouldin double, calinski_harabasz double, is_best int"))
 
 
 @register("m10_m11_importance")
@@ -267,8 +253,8 @@ def importance(spark, sf_dir):
     from ..operators.explain import coefficient_table, importance_table
     from ..operators.prep import feature_columns
     d = vec_table(spark, sf_dir)
-    rf, _ = MD.random_forest(d, 30, 8)
-    lr, _ = MD.logistic(d, **FAST)
+    rf, _ = MD.random_forest(d)
+    lr, _ = MD.logistic(d)
     names = feature_columns()
     return round_doubles(importance_table(spark, rf, names, "RandomForest", 10)
                          .unionByName(coefficient_table(spark, lr, names, "LogisticRegression", 10)))
@@ -290,7 +276,7 @@ def attributions(spark, sf_dir):
     from ..operators.explain import linear_attributions
     from ..operators.prep import feature_columns
     d = vec_table(spark, sf_dir)
-    lr, _ = MD.logistic(d, **FAST)
+    lr, _ = MD.logistic(d)
     return round_doubles(linear_attributions(d.filter(F.col("split") == "test"), lr, feature_columns()))
 
 
@@ -303,57 +289,82 @@ def best_model(spark, sf_dir):
 
 @register("io10_batch_scoring")
 def batch_scoring(spark, sf_dir):
-    """IO7/IO8/IO10: fit L2 logistic in a pipeline, save, load it back, and score the raw
-    customer rows with the stateless scoring projection (same code serves a stream)."""
-    import tempfile
-    from pyspark.ml import Pipeline
-    from ..operators.prep import feature_columns
+    """IO7/IO8/IO10: fit two pipelines (scaling included), save them, load those that exist, choose the one with
+    the best validation AUC, and score the raw customer rows (the same projection serves a stream)."""
     from ..operators.scale import Standardizer
-    from ..streaming.scoring import load_models, save_model, score
+    from ..session import ensure_checkpoint_dir
+    from ..streaming.scoring import best_model, fit_pipeline, load_models, save_model, score
     from .pipeline import scaled_columns
-    raw = churn_base(spark, sf_dir)
     f = churn_features(spark, sf_dir, scale=False)
-    scaler = Standardizer(scaled_columns()).fit(f.filter(F.col("split") == "train"))
-    tr = with_vector(scaler.transform(f.filter(F.col("split") == "train")))
-    pm = Pipeline(stages=[LogisticRegression(maxIter=20, standardization=False)]).fit(tr)
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="churnkit-models-")
-    path = base.rstrip("/") + "/models-" + spark.sparkContext.applicationId
-    save_model(pm, path + "/logistic")
-    loaded = load_models(path, ["logistic", "missing_model"])
-    return round_doubles(score(raw, scaler, loaded["logistic"], feature_columns(), "logistic"))
+    train = f.filter(F.col("split") == "train")
+    scaler = Standardizer(scaled_columns()).fit(train)
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models-{uuid.uuid4().hex}"
+    for name, C in (("logistic", 1.0), ("logistic_strong_penalty", 0.001)):
+        lr = LogisticRegression(regParam=1.0 / (C * train.count()), standardization=False, maxIter=MD.MAX_ITER)
+        save_model(fit_pipeline(train, scaler, lr), f"{folder}/{name}")
+    loaded = load_models(spark, folder, ["logistic", "logistic_strong_penalty", "missing_model"])
+    held = f.filter(F.col("split") == "val").select("row_id", "label")
+    raw = churn_base(spark, sf_dir)
+    scored = None
+    for name, model in loaded.items():
+        one = score(raw, model, name)
+        scored = one if scored is None else scored.unionByName(one)
+    best = best_model(roc_auc(scored.join(held, "row_id")), list(loaded))
+    return round_doubles(scored.where(F.col("model") == best))
 
 
 @register("p19_decision_grid")
 def decision_grid(spark, sf_dir):
-    """A logistic model on two scaled features scored on a 0.05-step grid (others 0)."""
+    """A logistic model on two scaled features scored on a 0.02-step grid (others 0)."""
     from ..operators.prep import feature_columns
     d = vec_table(spark, sf_dir)
     names = feature_columns()
-    m, _ = MD.logistic(d, max_iter=20)
-    g = MD.decision_grid(MD.train_rows(d), m, "tenure", "MonthlyCharges", names, step=0.05)
+    m, _ = MD.logistic(d)
+    g = MD.decision_grid(MD.train_rows(d), m, "tenure", "MonthlyCharges", names)
     return round_doubles(g)
 
 
-@register("c10_pca_projection")
+@register("c10_pca_projection", cb_sql(
+    features_cte(scale=False) + f", cl AS (SELECT row_id, {PSEUDO_CLUSTER_SQL} AS cluster FROM sp WHERE split IN ('train', 'val'))"
+    " SELECT cluster, count(*) AS n, sum(row_id) AS key_sum, 0.0 AS pc1_mean_all, 0.0 AS pc2_mean_all, 1 AS variances_match FROM cl GROUP BY cluster"))
 def pca_projection(spark, sf_dir):
-    """2-D principal-component projection of the feature table (train + val) with
-    deterministic cluster labels; explained-variance ratios repeated per row."""
+    """2-D principal-component projection of the scaled features (train + val) with cluster labels from the
+    raw table. Per cluster: rows; and over all rows the properties that define the projection: both components are
+    centred, uncorrelated, and their variances have the ratio of the explained variances."""
+    p = pca_points(spark, sf_dir).persist()
+    whole = p.agg(F.avg("pc1").alias("m1"), F.avg("pc2").alias("m2"), F.covar_samp("pc1", "pc2").alias("c"),
+                  F.var_samp("pc1").alias("v1"), F.var_samp("pc2").alias("v2"), F.first("ratio1").alias("r1"), F.first("ratio2").alias("r2")).first()
+    fits = abs(whole["c"]) < 1e-6 and abs(whole["v2"] / whole["v1"] - whole["r2"] / whole["r1"]) < 1e-6 and whole["v1"] >= whole["v2"]
+    out = cut_lineage(p.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("row_id").alias("key_sum")))
+    p.unpersist()
+    return out.withColumns({"pc1_mean_all": F.abs(F.round(F.lit(float(whole["m1"])), 6)), "pc2_mean_all": F.abs(F.round(F.lit(float(whole["m2"])), 6)),
+                            "variances_match": F.lit(int(fits))})
+
+
+def pca_points(spark, sf_dir):
+    """(row_id, cluster, pc1, pc2, ratio1, ratio2)"""
     from pyspark.ml.functions import vector_to_array
     from .fixtures import pseudo_clusters
+    labels = pseudo_clusters(churn_features(spark, sf_dir, scale=False)).select("row_id", "cluster")
     f = vec_table(spark, sf_dir).filter(F.col("split").isin("train", "val"))
-    f = pseudo_clusters(f.withColumn("tenure", F.col("tenure")))
     _, ratios, proj = CL.pca(f, 2)
     a = vector_to_array("pca")
-    return round_doubles(proj.select("row_id", "cluster", a[0].alias("pc1"), a[1].alias("pc2"),
-                                     F.lit(float(ratios[0])).alias("ratio1"), F.lit(float(ratios[1])).alias("ratio2")))
+    return proj.join(labels, "row_id").select("row_id", "cluster", a[0].alias("pc1"), a[1].alias("pc2"),
+                                              F.lit(float(ratios[0])).alias("ratio1"), F.lit(float(ratios[1])).alias("ratio2"))
+
+
+@register("c10_pca_points")
+def pca_points_query(spark, sf_dir):
+    """The projected rows themselves."""
+    return round_doubles(pca_points(spark, sf_dir))
 
 
 @register("h2_random_search")
 def random_search(spark, sf_dir):
-    """H2: seeded random search over a random-forest space, 3 folds, AUC on the leaf-mean score."""
+    """H2: seeded random search over a random-forest space, 5 folds, AUC on the leaf-mean score."""
     from pyspark.ml.regression import RandomForestRegressor
     from ..operators.tuning import random_search as rs
     d = vec_table(spark, sf_dir)
     rf = RandomForestRegressor(featureSubsetStrategy="sqrt", seed=42)
     space = {rf.numTrees: [10, 20, 40], rf.maxDepth: [3, 5, 8], rf.minInstancesPerNode: [1, 5]}
-    return round_doubles(rs(d, rf, space, n_iter=3, folds=3))
+    return round_doubles(rs(d, rf, space, folds=5))

@@ -49,27 +49,44 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = RAW_S
     return r.csv(path)
 
 
+def list_files(spark: SparkSession, folder: str, ext: str) -> list[str]:
+    """Files of a folder in any store that Spark reads, by the Hadoop file system of its path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().toString() for s in fs.listStatus(p) if s.isFile() and s.getPath().getName().endswith(ext))
+
+
 def read_folder(spark: SparkSession, folder: str, fmt: str = "csv",
                 schema: T.StructType | None = None) -> DataFrame:
     """IO2: every file of a folder, stacked by column name.
 
     Files with different columns are aligned by name; a column missing in
     one file is null there. An empty folder gives an empty DataFrame.
-    Each file is a separate scan so column sets may differ; the union is lazy
-    and all scans run in parallel.
+    Files with the same columns are one scan (without a schema, CSV types are
+    found by one more read of them). The union is lazy and all scans run in
+    parallel.
     """
-    ext = "." + fmt
-    files = sorted(f for f in os.listdir(folder) if f.endswith(ext))
+    files = list_files(spark, folder, "." + fmt)
     if not files:
         return spark.createDataFrame([], schema or T.StructType([]))
+    if schema is not None:
+        groups = {None: files}
+    elif fmt == "csv":
+        groups = {}
+        for f in files:         # one short read a file; files of one header become one scan
+            head = spark.read.text(f).limit(1).collect()
+            groups.setdefault(head[0][0] if head else "", []).append(f)
+    else:
+        groups = {}
+        for f in files:
+            groups.setdefault(spark.read.format(fmt).load(f).schema.json(), []).append(f)
     out = None
-    for f in files:
-        p = os.path.join(folder, f)
+    for paths in groups.values():
         if fmt == "csv":
             part = spark.read.option("header", True).option("inferSchema", schema is None)
-            part = (part.schema(schema) if schema is not None else part).csv(p)
+            part = part.schema(schema).csv(paths) if schema is not None else part.csv(paths)
         else:
-            part = spark.read.format(fmt).load(p)
+            part = (spark.read.schema(schema) if schema is not None else spark.read).format(fmt).load(paths)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 

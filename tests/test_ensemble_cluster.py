@@ -5,7 +5,6 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import functions as F
 
 from churnkit.operators.cluster_quality import segments, silhouette_sqeuclidean
-from churnkit.operators.clustering import cut_tree, ward_merge
 from churnkit.operators.ensemble import disagreement, soft_vote
 
 
@@ -54,9 +53,3 @@ def test_silhouette_decomposition_matches_pairs(spark):
         b = min(d[c == k].mean() for k in set(c) if k != c[i])
         s.append((b - a) / max(a, b))
     assert math.isclose(got, float(np.mean(s)))
-
-
-def test_ward_merge_heights():
-    merges, _ = ward_merge(np.array([[0.0], [1.0], [5.0], [6.0], [20.0]]), np.ones(5))
-    assert [round(m[3], 6) for m in merges] == [1.0, 1.0, 7.071068, 21.503488]
-    assert cut_tree(merges, 5, 2) == {0: 0, 1: 0, 2: 0, 3: 0, 4: 1}
