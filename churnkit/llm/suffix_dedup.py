@@ -380,7 +380,7 @@ def remove_repeats(docs: DataFrame, span: int = 100, gram: int = 24, *, id_col:
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(lo, 1000) for whole in batches for lo in range(0, whole.num_rows, 1000)):
             column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             out = []
             for raw, rank, copy, held in zip(column["text"].cast(pa.binary()).to_pylist(), column["rank"].to_pylist(),
@@ -399,7 +399,7 @@ def remove_repeats(docs: DataFrame, span: int = 100, gram: int = 24, *, id_col:
                 if as_text:
                     kept = kept.decode("utf-8", "ignore")
                 out.append((len(raw), kept, [{"start": a, "stop": b} for a, b in spans]))
-            n, kept, spans = map(list, zip(*out, strict=True)) if out else ([], [], [])
+            n, kept, spans = map(list, zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([column["doc_id"], pa.array(n, pa.int64()), pa.array(kept, kept_type),
                                               pa.array(spans, span_type), *([column["extra"]] if carry else [])],
                                              ["doc_id", "n_bytes", "kept", "spans", *(["extra"] if carry else [])])

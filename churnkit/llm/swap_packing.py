@@ -46,8 +46,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int | Non
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 2000):
-                batch = whole.slice(lo, 2000)
+            for lo in range(0, whole.num_rows, 500):
+                batch = whole.slice(lo, 500)
                 tokens, off = enc.encode(*buffers(batch.column(1)), end_id)
                 size = np.diff(off)
                 n = -(-size // capacity)

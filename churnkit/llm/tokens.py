@@ -22,7 +22,7 @@ import numpy as np
 from .bytesops import BYTE_TABLE, LOWER_TABLE, blocks, prefix_sums, span_hashes
 
 #: Pieces kept per task; a full table is emptied, so memory is bounded.
-MAX_PIECES = 900_000
+MAX_PIECES = 300_000
 MAX_PIECE_BYTES = 64
 _SEPARATOR = b"|"
 _SPACE, _NEWLINE, _LETTER, _DIGIT, _SIGN, _ODD = range(6)
