@@ -35,7 +35,9 @@ def _prob1():
 
 
 #: Upper bound of optimiser steps; fits end earlier, when the tolerance is reached.
-MAX_ITER = 1000
+MAX_ITER = 500
+#: Relative change at which the hinge loss, which is not smooth, counts as settled.
+HINGE_TOL = 1e-4
 
 
 def train_rows(df: DataFrame) -> DataFrame:
@@ -53,7 +55,7 @@ def logistic(df: DataFrame, C: float = 1.0, penalty: str = "l2", name: str = "Lo
     """L1/L2: scikit-learn's C maps to regParam = 1 / (C * n_train); no feature standardisation."""
     tr, n = fit_input(df, n_train)
     lr = LogisticRegression(regParam=1.0 / (C * n), elasticNetParam=1.0 if penalty == "l1" else 0.0,
-                            standardization=False, maxIter=max_iter, tol=1e-8)
+                            standardization=False, maxIter=max_iter, tol=1e-7)
     m = lr.fit(tr)
     return m, _out(m.transform(df), name, _prob1())
 
@@ -205,7 +207,7 @@ def adaboost(df: DataFrame, rounds: int = 100, rate: float = 1.0, name: str = "A
 def linear_svm(df: DataFrame, C: float = 1.0, name: str = "LinearSVM", max_iter: int = MAX_ITER):
     """Hinge-loss linear SVM, regParam = 1 / (C * n); score = decision value."""
     tr, n = fit_input(df)
-    m = LinearSVC(regParam=1.0 / (C * n), standardization=False, maxIter=max_iter).fit(tr)
+    m = LinearSVC(regParam=1.0 / (C * n), standardization=False, maxIter=max_iter, tol=HINGE_TOL).fit(tr)
     s = m.transform(df)
     margin = vector_to_array(F.col("rawPrediction"))[1]
     return m, _out(s, name, margin, (margin > 0).cast("int"))

@@ -26,8 +26,8 @@ def table(spark):
 def test_linear_fits_converge_before_their_bound(table):
     df, _, _ = table
     tr, n = MD.fit_input(df)
-    lr = LogisticRegression(regParam=1.0 / n, standardization=False, maxIter=MD.MAX_ITER, tol=1e-8).fit(tr)
-    svm = LinearSVC(regParam=1.0 / n, standardization=False, maxIter=MD.MAX_ITER).fit(tr)
+    lr = LogisticRegression(regParam=1.0 / n, standardization=False, maxIter=MD.MAX_ITER, tol=1e-7).fit(tr)
+    svm = LinearSVC(regParam=1.0 / n, standardization=False, maxIter=MD.MAX_ITER, tol=MD.HINGE_TOL).fit(tr)
     assert lr.summary.totalIterations < MD.MAX_ITER and svm.summary().totalIterations < MD.MAX_ITER
     again, _ = MD.logistic(df)
     assert np.allclose(again.coefficients, lr.coefficients, atol=1e-4)
