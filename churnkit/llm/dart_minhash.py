@@ -138,7 +138,7 @@ def _signed(docs: DataFrame, k: int, bands: int, size: int, counted: bool) -> Da
             keys = np.zeros((batch.num_rows, bands), np.int64)
             short = np.zeros((batch.num_rows, k), np.uint8)
             filled = np.zeros(batch.num_rows, bool)
-            for i, j, (h, d, n) in shingle_blocks(data, off, size, max_docs=2048):
+            for i, j, (h, d, n) in shingle_blocks(data, off, size, max_docs=256):
                 weight = n.astype(float) if counted else np.ones(len(n))
                 sig = signatures(h, weight, d, j - i, k)
                 keys[i:j] = band_keys(sig, bands)
