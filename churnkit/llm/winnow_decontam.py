@@ -108,7 +108,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 13, gram: i
     texts = base.select("did", "seen", words_of(F.col("text")).alias("words"))
     found = staged(_matches(texts, items, span, gram), "matches")
     per_doc = found.groupBy("did", "seen").agg(F.collect_list(F.struct("place", "item_id", "context", "before", "length")).alias("found"))
-    per_doc = staged(per_doc, "matches-by-document")     # its size is known, so the planner can choose the join
 
     words, n = F.col("words"), F.size("words")
     back = span - gram
@@ -132,7 +131,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 13, gram: i
                         (done["total"] + F.greatest(end - F.greatest(done["until"], h["start"]), F.lit(0))).alias("total"))
 
     named = F.array_compact(F.transform("hits", lambda h: h["item"]))
-    return (base.withColumn("words", words_of(F.col("text"))).join(per_doc, ["did", "seen"], "left")
+    # matches can be as many as documents, so they are never broadcast; the texts, not their words, are shuffled
+    return (base.join(per_doc.hint("merge"), ["did", "seen"], "left").withColumn("words", words_of(F.col("text")))
             .withColumn("hits", hits).withColumn("n_words", n.cast("long"))
             .withColumn("n_hit", F.aggregate("hits", zero, add)["total"])
             .withColumn("items", F.array_sort(F.array_distinct(named)))
