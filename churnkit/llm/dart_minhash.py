@@ -18,7 +18,8 @@ and classes are formed: a group of copies costs one hub instead of all its
 pairs. Then, in buckets that still hold several classes, the signatures of nodes
 of different classes are compared, a byte a coordinate, and only pairs that agree
 in enough of them (five standard deviations below the threshold: a true link is
-missed with a probability of 3e-7) become rows and are compared exactly. Buckets
+missed with a probability of 3e-7), and then in their hashed shingle sets, become
+rows and are compared exactly. Buckets
 of more than ``BLOCK`` nodes are dealt out as pairs of blocks, so no task holds
 more than two blocks, and no bucket is cut.
 
@@ -155,30 +156,56 @@ def _signed(docs: DataFrame, k: int, bands: int, size: int, counted: bool) -> Da
     return docs.mapInArrow(sign, "did long, doc_id long, digest binary, bands array<bigint>, sig binary")
 
 
-def _alike(state: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
-    """(a, b), a > b: nodes of one bucket and different classes whose signatures agree in ``least`` coordinates."""
+def _sets(held: DataFrame, size: int) -> DataFrame:
+    """(node, shingles): the distinct shingles of each text as sorted 32-bit hashes."""
+    def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = buffers(batch.column(1))
+            out = [b""] * batch.num_rows
+            for i, j, (h, d, _) in shingle_blocks(data, off, size):
+                cut = np.searchsorted(d, np.arange(j - i + 1))
+                short = (h >> U64(32)).astype(np.uint32)
+                for k in range(j - i):
+                    out[i + k] = np.unique(short[cut[k]:cut[k + 1]]).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["node", "shingles"])
+
+    return held.select("node", "text").mapInArrow(make, "node long, shingles binary").dropDuplicates(["node"])
+
+
+def _alike(state: DataFrame, facts: DataFrame, least: int, threshold: float) -> DataFrame:
+    """(a, b), a > b: nodes of one bucket and different classes that pass two tests in the bucket's task.
+
+    Their signatures agree in ``least`` coordinates, and the similarity of their 32-bit shingle sets is not
+    below the threshold (less a little for collisions of the short hashes), so few rows leave the task.
+    """
     count = state.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = (state.join(count, "key").withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("key", "node", "root", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-             .join(sigs, "node"))
+             .join(facts, "node"))
+    enough = threshold - 0.005
 
     def compare(table: pa.Table) -> pa.Table:
         node, root, own = (table[c].to_numpy() for c in ("node", "root", "own"))
         low, high = table["low"][0].as_py(), table["high"][0].as_py()
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(node), -1)
+        sets = [np.frombuffer(x, np.uint32) for x in table["shingles"].to_pylist()]
         rows = np.flatnonzero(own == low)
-        out = [np.zeros((0, 2), np.int64)]
+        out = []
         for lo in range(0, len(rows), 32):
             i = rows[lo:lo + 32]
             agree = (sig[i][:, None, :] == sig[None, :, :]).sum(axis=2)
             hit = (agree >= least) & (root[i][:, None] != root[None, :]) & (own == high)[None, :]
-            x, y = np.nonzero(hit)
-            pair = np.stack([node[i[x]], node[y]], axis=1)
-            out.append(pair)
-        pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
-        return pa.table({"a": pairs[:, 1], "b": pairs[:, 0]})
+            for x, y in zip(*np.nonzero(hit), strict=True):
+                p, q = i[x], y
+                if low == high and p > q:
+                    continue                            # the pair comes the other way round too
+                both = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+                if both >= enough * (len(sets[p]) + len(sets[q]) - both):
+                    out.append((max(node[p], node[q]), min(node[p], node[q])))
+        pairs = np.array(sorted(set(out)), np.int64).reshape(-1, 2)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return dealt.groupBy("key", "low", "high").applyInArrow(compare, "a long, b long").distinct()
 
@@ -240,7 +267,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, *, k: int = 240, ba
     several = state.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     state = staged(state.join(several, "key"), "state")
     least = int(k * threshold - 5 * math.sqrt(k * threshold * (1 - threshold)))
-    rest = staged(_alike(state, sigs, least).join(first, ["a", "b"], "left_anti"), "pairs")
+    facts = sigs.join(_sets(held.join(state.select("node").distinct(), "node", "left_semi"), size), "node")
+    rest = staged(_alike(state, facts, least, threshold).join(first, ["a", "b"], "left_anti"), "pairs")
     more = staged(_linked(rest, held, size, threshold), "links")
     if not more.isEmpty():
         classes = components(links.union(more))
