@@ -11,12 +11,13 @@ network: one embedding table for each place of the window, a tanh layer, a
 softmax over the classes; places outside the text have a class of their own.
 A document's score is the sum over its words.
 
-Counts and training cover the whole corpus and grow with it. Each task counts
-its documents, and trains on every ``stride``-th word of each of them, starting
-from the common weights; vectors of counts and weights are added up in pieces by
-key in two levels, and only sums of fixed size reach the driver. The weights of
-the tasks are averaged by the number of words they saw (local SGD, ``rounds``
-times).
+Counts and training cover every word of the corpus; the network itself has a fixed
+size. Each task counts its documents and trains on their words, starting from the
+common weights: round r of ``rounds`` takes the words whose place in the document
+is r modulo ``stride``, by default the number of rounds, so that every word is a
+target exactly once. Vectors of counts and weights are added up in pieces by key in
+two levels, and only sums of fixed size reach the driver. The weights of the tasks
+are averaged by the number of words they saw (local SGD).
 
 Cases: a null text is empty; without words the sum is 0 and the mean null; a null
 id is kept; repeated rows are scored alike; an empty table gives no rows; other
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import U64, blocks, buffers
+from .bytesops import U64, blocks, buffers, runs
 from .shared import texts
 from .shingles import word_hashes
 
@@ -134,7 +135,8 @@ class Network:
 
     def log_probability(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log P(class | neighbours) of each row."""
-        logits = self.hidden(around) @ self.out + self.out_bias
+        logits = self.hidden(around) @ self.out
+        logits += self.out_bias
         logits -= logits.max(axis=1, keepdims=True)
         own = logits[np.arange(len(target)), target]
         return own - np.log(np.exp(logits, out=logits).sum(axis=1))
@@ -143,19 +145,19 @@ class Network:
         """One Adagrad step on the mean cross-entropy; ``memory`` keeps the sums of squares."""
         n = len(target)
         h = self.hidden(around)
-        p = h @ self.out + self.out_bias
+        p = h @ self.out
+        p += self.out_bias
         p -= p.max(axis=1, keepdims=True)
         np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(n), target] -= 1
-        p /= n
+        p *= 1 / (n * p.sum(axis=1, keepdims=True))
+        p[np.arange(n), target] -= np.float32(1 / n)
         back = (p @ self.out.T) * (1 - h * h)
-        parts = []
-        for k in range(len(SIDES)):
-            one = np.zeros((n, CLASSES), np.float32)
-            one[np.arange(n), around[:, k]] = 1
-            parts.append((one.T @ back).reshape(-1))
-        g = np.concatenate([*parts, back.sum(axis=0), (h.T @ p).reshape(-1), p.sum(axis=0)])
+        row = (around + np.arange(len(SIDES)) * CLASSES).astype(np.int16).ravel()
+        order = np.argsort(row, kind="stable")
+        first = runs(row[order])
+        embed = np.zeros((len(SIDES) * CLASSES, HIDDEN), np.float32)
+        embed[row[order[first]]] = np.add.reduceat(back[order // len(SIDES)], first, axis=0)
+        g = np.concatenate([embed.reshape(-1), back.sum(axis=0), (h.T @ p).reshape(-1), p.sum(axis=0)])
         memory += g * g
         self.vector -= rate * g / np.sqrt(memory)
 
@@ -175,8 +177,9 @@ class MaskedModel:
         return np.bincount(doc, weights=out, minlength=n)
 
 
-def fit(docs: DataFrame, rounds: int = 2, stride: int = 16, rate: float = 0.15, step: int = 512) -> MaskedModel:
-    """Count and train over every row of (doc_id, text)."""
+def fit(docs: DataFrame, rounds: int = 2, stride: int | None = None, rate: float = 0.15, step: int = 512) -> MaskedModel:
+    """Count and train over every row of (doc_id, text); without ``stride`` every word is a target once."""
+    stride = stride or rounds
     sc = docs.sparkSession.sparkContext
 
     def count(batches):

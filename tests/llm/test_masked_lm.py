@@ -60,5 +60,20 @@ def test_order_of_words_counts(spark):
     assert got.count() == len(rows)
 
 
+def test_production_parameters_train_on_every_word(spark):
+    """Places 0 and 1 of every 16 words are noise, the rhythm is in the other 14: it is learned only from those."""
+    rng = random.Random(4)
+    noise, rhythm = ["n%d" % k for k in range(20)], ["r%d" % k for k in range(14)]
+
+    def text(parts, blocks=100):
+        return " ".join(w for _ in range(blocks) for w in (rng.choice(noise), rng.choice(noise), *parts))
+    mixed = list(rhythm)
+    rng.shuffle(mixed)
+    rows = [(i, text(rhythm)) for i in range(300)] + [(900, text(rhythm)), (901, text(mixed))]
+    got = pseudo_likelihood(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
+    by = {r.doc_id: r.mean_log_likelihood for r in got.collect()}
+    assert by[900] > by[901] + 1
+
+
 def test_empty_table(spark):
     assert pseudo_likelihood(spark.createDataFrame([], "doc_id long, text string")).collect() == []
