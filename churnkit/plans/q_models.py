@@ -115,16 +115,6 @@ def f4_pca(spark, sf_dir):
     return spark.createDataFrame([(i, round(float(r), 6)) for i, r in enumerate(ratios)], "component int, ratio double")
 
 
-#: The five stacked families with fewer trees than the library's defaults: one query fits each of them four times.
-LIGHT_FAMILIES = {
-    "LogisticRegression": lambda d: MD.logistic(d),
-    "RandomForest": lambda d: MD.random_forest(d, 30, 8),
-    "GradientBoosting": lambda d: MD.gradient_boosting(d, 20),
-    "LinearSVM": lambda d: MD.linear_svm(d),
-    "DecisionTree": lambda d: MD.decision_tree(d, 5),
-}
-
-
 # --- full fits (rows-only in the driver) -------------------------------------------------------
 
 def _linear_family(spark, sf_dir):
@@ -161,16 +151,16 @@ def tree_models(spark, sf_dir):
 def boosting_models(spark, sf_dir):
     """L9 gradient boosting, L10 subsampled variant, L11 early-stopped prefix."""
     d = vec_table(spark, sf_dir)
-    p = (MD.gradient_boosting(d, 50)[1]
-         .unionByName(MD.gradient_boosting(d, 50, subsample=0.8, name="XGBoost")[1])
-         .unionByName(MD.early_stopped_boosting(d, 40, patience=10)[1]))
+    p = (MD.gradient_boosting(d)[1]
+         .unionByName(MD.gradient_boosting(d, subsample=0.8, name="XGBoost")[1])
+         .unionByName(MD.early_stopped_boosting(d)[1]))
     return round_doubles(model_table(p.filter(F.col("split") == "test")))
 
 
 @register("l12_adaboost")
 def adaboost(spark, sf_dir):
     d = vec_table(spark, sf_dir)
-    _, p = MD.adaboost(d, rounds=30)
+    _, p = MD.adaboost(d)
     return round_doubles(model_table(p.filter(F.col("split") == "test")))
 
 
@@ -178,8 +168,8 @@ def adaboost(spark, sf_dir):
 def kernel_svms(spark, sf_dir):
     """L14 kernel map + linear SVM for rbf, poly, sigmoid; L15 on PCA; L16 Platt probabilities."""
     d = vec_table(spark, sf_dir)
-    parts = [K.kernel_svm(d, k, m=100)[1] for k in ("rbf", "poly", "sigmoid")]
-    parts.append(K.svm_with_pca(d, k=10, m=100)[1])
+    parts = [K.kernel_svm(d, k)[1] for k in ("rbf", "poly", "sigmoid")]
+    parts.append(K.svm_with_pca(d, k=10)[1])
     parts.append(K.platt(parts[0]))
     out = parts[0]
     for p in parts[1:]:
@@ -192,7 +182,7 @@ def grid_search(spark, sf_dir):
     """H1: exhaustive grid over C for L2 logistic, 5 stratified folds (W2), AUC; the best is flagged."""
     from ..operators.tuning import grid_search_logistic
     d = vec_table(spark, sf_dir)
-    return round_doubles(grid_search_logistic(d, [0.01, 0.1, 1.0, 10.0], folds=5))
+    return round_doubles(grid_search_logistic(d, [0.001, 0.01, 0.1, 1.0, 10.0, 100.0], folds=5))
 
 
 @register("h3_cv_scores")
@@ -200,21 +190,21 @@ def cv_scores(spark, sf_dir):
     """H3/H4: per-fold AUC, mean and std (ddof 0) for several models."""
     from ..operators.tuning import cv_auc
     d = vec_table(spark, sf_dir)
-    return round_doubles(cv_auc(d, folds=3))
+    return round_doubles(cv_auc(d))
 
 
 @register("h5_learning_curve")
 def learning_curve(spark, sf_dir):
     from ..operators.tuning import learning_curve as lc
     d = vec_table(spark, sf_dir)
-    return round_doubles(lc(d, fractions=(0.2, 0.4, 0.6, 0.8, 1.0)))
+    return round_doubles(lc(d))
 
 
 @register("e2_stacking")
 def stacking(spark, sf_dir):
     from ..operators.tuning import stacking as st
     d = vec_table(spark, sf_dir)
-    return round_doubles(model_table(st(d, folds=3, families=LIGHT_FAMILIES).filter(F.col("split") == "test")))
+    return round_doubles(model_table(st(d).filter(F.col("split") == "test")))
 
 
 @register("e5_isotonic_calibration")
@@ -252,7 +242,7 @@ def k_search(spark, sf_dir):
     """H6: k-means cost and scalable quality per k on the feature table (train + val)."""
     from ..operators.prep import feature_columns
     f = vec_table(spark, sf_dir).filter(F.col("split").isin("train", "val"))
-    rows = CL.k_search(f, feature_columns(), k_range=range(2, 8), n_init=2)
+    rows = CL.k_search(f, feature_columns())
     return round_doubles(spark.createDataFrame(rows, "k int, inertia double, silhouette_sq double, "
                                                "davies_bouldin double, calinski_harabasz double, is_best int"))
 
@@ -371,10 +361,10 @@ def pca_points_query(spark, sf_dir):
 
 @register("h2_random_search")
 def random_search(spark, sf_dir):
-    """H2: seeded random search over a random-forest space, 3 folds, AUC on the leaf-mean score."""
+    """H2: seeded random search over a random-forest space, 50 draws, 5 folds, AUC on the leaf-mean score."""
     from pyspark.ml.regression import RandomForestRegressor
     from ..operators.tuning import random_search as rs
     d = vec_table(spark, sf_dir)
     rf = RandomForestRegressor(featureSubsetStrategy="sqrt", seed=42)
-    space = {rf.numTrees: [10, 20, 40], rf.maxDepth: [3, 5, 8], rf.minInstancesPerNode: [1, 5]}
-    return round_doubles(rs(d, rf, space, n_iter=6, folds=3))
+    space = {rf.numTrees: [100, 200, 300], rf.maxDepth: [3, 5, 7, 9], rf.minInstancesPerNode: [1, 3, 5], rf.subsamplingRate: [0.6, 0.8, 1.0]}
+    return round_doubles(rs(d, rf, space))
