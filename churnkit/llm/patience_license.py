@@ -8,9 +8,13 @@ the share of the template's words that are aligned.
 
 Only words of the templates matter to an alignment, so the text is first cut to
 those. A template is tried when enough of its words occur in the text at all:
-coverage can never be above that share, so the test loses nothing. Aligned words
-must also make up ``least_density`` of the words between the first and the last
-of them, so words scattered over a long text are no licence.
+coverage can never be above that share, so the test loses nothing. Alignments are
+then sought in regions: the shortest stretches that hold enough of the template's
+words, with a margin for the rest. Aligned words must make up ``least_density`` of
+the words between the first and the last of them, after stray matches at the ends
+are cut off, so words scattered over a long text are no licence, and a word far away
+does not spoil one. Every occurrence of a template is found; the whole text is tried
+when no region holds one.
 
 Templates are a parameter (name -> text) and go to the tasks as such.
 
@@ -124,10 +128,83 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
+def dense_part(pairs: list[tuple[int, int]], places: list[int], density: float) -> list[tuple[int, int]]:
+    """The run of pairs with the greatest surplus of aligned words over ``density`` of the words it spans."""
+    best, top, total, first = (0, 0), 0.0, 0.0, 0
+    for k, (_, j) in enumerate(pairs):
+        step = 1 - density * (places[j] - places[pairs[k - 1][1]]) if k > first else 1 - density
+        if k > first and total + step < 1 - density:
+            first, total, step = k, 0.0, 1 - density
+        total += step
+        if total > top or k == 0:
+            top, best = total, (first, k + 1)
+    return pairs[best[0]:best[1]]
+
+
+def occurrences(template: list[int], words: list[int], places: list[int], least_coverage: float, least_density: float):
+    """Alignments (pairs as in ``patience``) of the template's occurrences in the text, which do not overlap."""
+    need, wanted = least_coverage * len(template), Counter(template)
+    at = [k for k, w in enumerate(words) if w in wanted]
+    own, where = [words[k] for k in at], [places[k] for k in at]
+
+    def enough(found: list[tuple[int, int]]) -> bool:
+        return bool(found) and len(found) >= max(need, least_density * (where[found[-1][1]] + 1 - where[found[0][1]]))
+
+    def grown(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """The alignment with what the region cut off of the template at either end."""
+        (i, j), (x, y) = found[0], found[-1]
+        a = max(floor, j - 2 * i)
+        return ([(k, a + n) for k, n in patience(template[:i], own[a:j])] + found
+                + [(x + 1 + k, y + 1 + n) for k, n in patience(template[x + 1:], own[y + 1:y + 1 + 2 * (len(template) - x - 1)])])
+
+    def aligned(a: int, b: int) -> list[tuple[int, int]]:
+        pairs = [(i, a + j) for i, j in patience(template, own[a:b])]
+        found = next((p for p in (pairs, dense_part(pairs, where, least_density)) if enough(p)), [])
+        if found:
+            whole = grown(found)
+            found = max((p for p in (whole, dense_part(whole, where, least_density), found) if enough(p)), key=len)
+        return [(i, at[j]) for i, j in found]
+
+    out, floor = [], 0                                  # no hit below floor is used again
+    margin = len(template) - int(need) + 1
+    held: Counter = Counter()
+    low = overlap = tried = 0                           # hits low..high are held
+    for high, w in enumerate(own):
+        if high < floor:
+            continue
+        held[w] += 1
+        overlap += held[w] <= wanted[w]
+        while low < high and held[own[low]] > wanted[own[low]]:
+            held[own[low]] -= 1
+            low += 1
+        while overlap - 1 >= need and low < high:
+            held[own[low]] -= 1
+            overlap -= 1
+            low += 1
+            while low < high and held[own[low]] > wanted[own[low]]:
+                held[own[low]] -= 1
+                low += 1
+        if overlap < need or high < tried or where[high] - where[low] >= len(template) / least_density:
+            continue
+        a, b = max(floor, low - margin), min(len(own), high + 1 + margin)
+        pairs = next((p for x, y in ((a, b), (low, b), (a, high + 1), (low, high + 1)) if (p := aligned(x, y))), [])
+        if pairs:
+            out.append(pairs)
+            floor = next(k for k in range(low, len(at) + 1) if k == len(at) or at[k] > pairs[-1][1])
+            held.clear()
+            overlap, low, tried = 0, floor, 0
+            for k in range(floor, high + 1):            # what was read past the occurrence
+                held[own[k]] += 1
+                overlap += held[own[k]] <= wanted[own[k]]
+        else:
+            tried = high + 1 + margin // 2              # neighbouring stretches differ by less than their margins
+    return out or ([p] if (p := aligned(0, len(own))) else [])
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least_coverage: float = 0.8, least_density: float = 0.5,
                   *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, found (array of license, coverage, matched, and start and stop, the
-    words of the text from the first to the last aligned one), best coverage first."""
+    words of the text from the first to the last aligned one; one entry for each occurrence), best coverage first."""
     lists = {name: words_of(text) for name, text in (TEMPLATES if templates is None else templates).items()}
     lists = {name: w for name, w in lists.items() if w}
     number = {w: k for k, w in enumerate(sorted({w for ws in lists.values() for w in ws}))}
@@ -142,11 +219,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
             need = least_coverage * len(template)
             if sum(min(n, held[w]) for w, n in Counter(template).items()) < need:
                 continue
-            pairs = patience(template, words)
-            if pairs and len(pairs) >= need and len(pairs) >= least_density * (places[pairs[-1][1]] + 1 - places[pairs[0][1]]):
+            for pairs in occurrences(template, words, places, least_coverage, least_density):
                 out.append({"license": name, "coverage": len(pairs) / len(template), "matched": len(pairs),
                             "start": places[pairs[0][1]], "stop": places[pairs[-1][1]] + 1})
-        return sorted(out, key=lambda r: (-r["coverage"], -len(coded[r["license"]]), r["license"]))
+        return sorted(out, key=lambda r: (-r["coverage"], -len(coded[r["license"]]), r["license"], r["start"]))
 
     shortest = min((least_coverage * len(t) for t in coded.values()), default=float("inf"))
 
@@ -171,7 +247,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
 
 
 def best_license(found: DataFrame) -> DataFrame:
-    """doc_id, n_words, license (null for none), coverage (0 for none), n_found."""
+    """doc_id, n_words, license (null for none), coverage (0 for none), n_found (licences, not occurrences)."""
     top = F.get("found", F.lit(0))
     return found.select("doc_id", "n_words", top["license"].alias("license"), F.coalesce(top["coverage"], F.lit(0.0)).alias("coverage"),
-                        F.size("found").cast("long").alias("n_found"))
+                        F.size(F.array_distinct(F.col("found")["license"])).cast("long").alias("n_found"))

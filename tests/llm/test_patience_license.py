@@ -59,3 +59,20 @@ def test_finds_planted_texts(spark):
     assert one.found[0]["stop"] - 50 == len(re.findall(r"[A-Za-z0-9]+", mit)) and one.n_words == 950 + one.found[0]["matched"]
     assert scan_licenses(df, {"empty": "..."}).where("size(found) > 0").count() == 0
     assert scan_licenses(df.where("false")).collect() == []
+
+
+def test_finds_repeated_and_distant_texts(spark):
+    """Licences that stand twice, stand late behind ordinary English, or have a stray word far away."""
+    rng = random.Random(5)
+    common = "this the of to and is a work software in for with that be or any as by on license under".split()
+    english = lambda n: " ".join(rng.choice(common) if rng.random() < 0.4 else "w%d" % rng.randrange(5000) for _ in range(n))
+    mit, gpl, notice = TEMPLATES["MIT"], TEMPLATES["GPL-3.0"], TEMPLATES["GPL-3.0 notice"]
+    changed = " ".join(w if k % 15 else "changed" for k, w in enumerate(mit.split()))
+    rows = [(1, f"{english(300)} {mit} {english(2000)} {mit} {english(100)}"), (2, f"This {english(2000)} {notice} {english(50)}"),
+            (3, f"{english(200)} {gpl} {english(900)} merchantability {english(40)}"), (4, english(3000)), (5, f"{changed} {changed}"),
+            (6, f"{english(50)} {notice} {notice} {english(50)}")]
+    got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    names = {k: sorted(f["license"] for f in r.found) for k, r in got.items()}
+    assert names == {1: ["MIT", "MIT"], 2: ["GPL-3.0 notice"], 3: ["GPL-3.0"], 4: [], 5: ["MIT", "MIT"], 6: ["GPL-3.0 notice"] * 2}
+    size = len(re.findall(r"[A-Za-z0-9]+", mit))
+    assert sorted(f["start"] for f in got[1].found) == [300, 2300 + size] and all(f["coverage"] == 1 for f in got[1].found)
