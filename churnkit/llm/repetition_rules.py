@@ -153,14 +153,18 @@ def repetition_statistics(docs: DataFrame, min_words: int = 8, window: int = 5,
 
 
 def repetition_rules(docs: DataFrame, *, min_words: int = 8, window: int = 5, least_words: int = 10, max_window_percent: int = 20,
-                     max_covered_percent: int = 25, max_longest: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                     max_covered_percent: int = 15, short_covered_percent: int = 25, notice_chars: int = 200, max_longest: int = 40,
+                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The statistics with base_failed (too short, or too many words in repeated windows) and kept.
 
     kept also needs: repeats of ``min_words`` or more cover at most ``max_covered_percent`` of the words'
-    characters, and no repeat is longer than ``max_longest`` words.
+    characters, or in a short text, where one repeated notice is more than that, at most ``notice_chars``
+    characters and ``short_covered_percent``; and no repeat is longer than ``max_longest`` words.
     """
     from pyspark.sql import functions as F
     stats = repetition_statistics(docs, min_words, window, id_col=id_col, text_col=text_col)
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > max_window_percent * F.col("n_words"))
-    repeats = (100 * F.col("covered_chars") > max_covered_percent * F.col("word_chars")) | (F.col("longest_repeat") > max_longest)
+    over = lambda percent: 100 * F.col("covered_chars") > percent * F.col("word_chars")     # noqa: E731
+    covers = over(max_covered_percent) & ((F.col("covered_chars") > notice_chars) | over(short_covered_percent))
+    repeats = covers | (F.col("longest_repeat") > max_longest)
     return stats.withColumn("base_failed", failed).withColumn("kept", ~failed & ~repeats)

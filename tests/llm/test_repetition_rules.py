@@ -56,5 +56,19 @@ def test_matches_brute_force(spark):
     assert have == want
 
 
+def test_covered_fraction_alone_rejects(spark):
+    """18% of a long text in repeats of 30 words goes by the covered fraction; one repeated notice of a short text stays."""
+    word = iter(range(100000, 200000))
+    fresh = lambda n: " ".join("w%d" % next(word) for _ in range(n))
+    passages = [fresh(30) for _ in range(3)]
+    long = " ".join([fresh(300), *passages, fresh(520), *passages[::-1]])
+    notice = "This work is licensed under the GNU General Public License, version 3."
+    rows = [(1, long), (2, f"{fresh(60)} {notice} {fresh(60)} {notice}"), (3, f"{fresh(1000)} {passages[0]} {passages[0]}")]
+    got = {r.doc_id: r for r in repetition_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(r.base_failed for r in got.values()) and max(r.longest_repeat for r in got.values()) <= 40
+    assert 15 * got[1].word_chars < 100 * got[1].covered_chars < 20 * got[1].word_chars
+    assert {k: r.kept for k, r in got.items()} == {1: False, 2: True, 3: True}
+
+
 def test_empty_table(spark):
     assert repetition_rules(spark.createDataFrame([], "doc_id long, text string")).collect() == []
