@@ -8,8 +8,9 @@ packed by best fit, largest first, and improved by local search: the emptiest
 bins give pieces to other underfull bins by moving one, swapping one for one, or
 swapping two for one. Every step makes the fuller bin fuller, so the sum of
 squared fills rises and bins run empty. Pieces of bins that stay clearly
-underfull are dealt anew into fewer groups, until one group is left, so the
-number of groups costs next to nothing.
+underfull are dealt anew into as many groups as they need, until one group is
+left or a round leaves (within a hundredth) as many such bins as it was given; so
+the number of groups costs next to nothing, and no group is larger than the others.
 
 Cases: a null text is empty (only the end id); a null id is kept; repeated rows
 are packed as often as they occur; an empty table gives no rows; other columns
@@ -142,7 +143,11 @@ class _Loose:
         own = sorted(self.bins[u], key=lambda i: -self.sizes[i])
         limit = self.gap[u]                              # the other bin must end fuller: the squares then rise
         step = None
-        for give in [(i,) for i in own] + [(own[x], own[y]) for x in range(min(len(own), 8)) for y in range(x)]:
+        def gives():                                     # equal sizes are the same step
+            yield from ((i,) for i in {self.sizes[i]: i for i in own}.values())
+            yield from {(self.sizes[a], self.sizes[b]): (a, b) for x, a in enumerate(own) for b in own[:x]}.values()
+
+        for give in gives():
             weight = sum(self.sizes[i] for i in give)
             if weight > self.capacity:
                 continue
@@ -193,10 +198,9 @@ def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list
 def pack_lengths(items: DataFrame, capacity: int) -> DataFrame:
     """(key, sequence_id, place) for items (key long, length long), 0 < length < capacity; odd sequence ids."""
     schema = pa.schema([("key", pa.int64()), ("length", pa.int64()), ("bin", pa.int64()), ("place", pa.int64()), ("loose", pa.bool_())])
-    done, todo, round_no = None, items, 0
+    done, todo, round_no, before, loose_before = None, items, 0, None, None
     groups = max(1, -(-items.count() // GROUP_ITEMS))
     while True:
-        last = groups == 1
 
         def pack(table: pa.Table) -> pa.Table:
             sizes = table["length"].to_pylist()
@@ -214,13 +218,19 @@ def pack_lengths(items: DataFrame, capacity: int) -> DataFrame:
 
         dealt = todo.select("key", "length", F.pmod(F.xxhash64("key", F.lit(round_no)), F.lit(groups)).alias("group"))
         got = staged(dealt.groupBy("group").applyInArrow(pack, "key long, length long, bin long, place long, loose boolean"), "packed")
-        number = (F.col("bin") * 64 + round_no) * 2 + 1
-        kept = (got if last else got.where(~F.col("loose"))).select("key", number.alias("sequence_id"), F.col("place").alias("offset"))
+        number = (F.col("bin") * 1024 + round_no) * 2 + 1
+        placed = got.select("key", "length", "loose", number.alias("sequence_id"), F.col("place").alias("offset"))
+        n, bins, loose = got.agg(F.count_if("loose"), F.count_distinct("bin"), F.count_distinct(F.when(F.col("loose"), F.col("bin")))).first()
+        if before is not None and bins > loose_before:          # dealt anew they need more bins: the last round's stay
+            return done.union(before.select(*done.columns))
+        last = groups == 1 or round_no == 1023 or (loose_before is not None and loose > 0.99 * loose_before)
+        kept = (placed if last or not n else placed.where(~F.col("loose"))).select("key", "sequence_id", "offset")
         done = kept if done is None else done.union(kept)
-        if last:
+        if last or not n:
             return done
-        todo = got.where("loose").select("key", "length")
-        groups = min(groups // 2, max(1, -(-todo.count() // GROUP_ITEMS)))
+        before, loose_before = placed.where("loose"), loose
+        todo = before.select("key", "length")
+        groups = -(-n // GROUP_ITEMS)
         round_no += 1
 
 

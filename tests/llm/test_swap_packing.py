@@ -4,7 +4,8 @@ import zlib
 import numpy as np
 import pytest
 
-from churnkit.llm.swap_packing import best_fit, local_search, pack_documents, sequences
+from churnkit.llm import swap_packing
+from churnkit.llm.swap_packing import best_fit, local_search, pack_documents, pack_lengths, sequences
 
 tokenizers = pytest.importorskip("tokenizers")
 public = pytest.importorskip("public_tokenizers")
@@ -62,6 +63,28 @@ def test_pieces_and_sequences(spark):
     assert sum(built.values()) == total and len(built) == len(seq)
 
 
+def test_no_group_takes_all_loose_pieces(spark, monkeypatch):
+    """Pieces that no swap can bring together stay in groups of the usual size, and a group's search sees all pairs."""
+    monkeypatch.setattr(swap_packing, "GROUP_ITEMS", 64)
+    items = spark.range(640).selectExpr("id key", "if(id % 10 < 9, 60, 45) length")
+    rows = pack_lengths(items, 100).collect()
+    assert sorted(r.key for r in rows) == list(range(640))
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append((r.offset, 60 if r.key % 10 < 9 else 45))
+    assert all(sum(n for _, n in b) <= 100 for b in bins.values()) and len(bins) <= 576 + 32 + 10
+    assert len({(s >> 11) >> 20 for s in bins}) > 1      # the last round still has several groups
+
+
+def test_swaps_try_every_pair():
+    """Ten pieces in a bin, of which only the two smallest fill the gap that one piece of the other bin leaves."""
+    sizes = [9, 9, 9, 9, 9, 9, 9, 9, 3, 2, 4, 94]
+    bins = [list(range(10)), [10, 11]]
+    loose = swap_packing._Loose(bins, sizes, 99)
+    assert loose.improve(0) and sorted(loose.gap) != [1, 22]
+    assert loose.gap[1] == 0 and sorted(bins[1]) == [8, 9, 11]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert pack_documents(df, public.path("byte_bpe_50k.json")).count() == 0
