@@ -1,4 +1,4 @@
-"""The queries opN_<name> of the ten operators, with production parameters, and their SQL."""
+"""The queries opN_<name> of the corpus operators, with production parameters, and their SQL."""
 
 from __future__ import annotations
 
@@ -144,3 +144,16 @@ def op4_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_patience_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .patience_license import best_license, scan_licenses
     return best_license(scan_licenses(documents(spark, sf_dir), least_coverage=0.8))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import periodic_runs, planted
+    found = periodic_runs(planted(documents(spark, sf_dir)), min_length=24, min_repeats=3)
+    best = F.col("strongest")
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"),
+                        best["length"].alias("length"), best["period"].alias("period"),
+                        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+                        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+                        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
