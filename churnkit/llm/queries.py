@@ -166,3 +166,20 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = restored(F.col("output"), F.col("form"))
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
                        F.sha2(back.cast("binary"), 256).alias("restored_sha256"))
+
+
+@query
+def op12_topk_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk_threshold import top_k
+    found = top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+    return found.withColumnRenamed("id", "vec_id")
+
+
+ORACLES["op12_topk_threshold"] = """
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
