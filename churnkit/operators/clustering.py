@@ -81,17 +81,15 @@ def hierarchical(df: DataFrame, k: int, seed: int = 42, vec: str = "features", m
     return m, m.transform(df).withColumnRenamed("prediction", "cluster")
 
 
-def k_search(df: DataFrame, cols, k_range=range(2, 15), seed: int = 42, vec: str = "features", n_init: int = 10):
-    """H6: per k the k-means cost and the scalable quality measures, best k by silhouette flagged; rows for a table."""
-    from .cluster_quality import calinski_harabasz, davies_bouldin, silhouette_sqeuclidean
-    rows = []
-    for k in k_range:
-        m, cost, lab = kmeans_best_of(df, k, n_init=n_init, seed=seed, vec=vec)
-        lab = lab.persist()
-        sil = silhouette_sqeuclidean(lab, cols).first()[0]
-        db = davies_bouldin(lab, cols).first()[0]
-        ch = calinski_harabasz(lab, cols).first()[0]
-        lab.unpersist()
-        rows.append((k, float(cost), float(sil), float(db), float(ch)))
+def k_search(df: DataFrame, k_range=range(2, 15), seed: int = 42, vec: str = "features", n_init: int = 10, key: str = "row_id"):
+    """H6: per k the least k-means cost of ``n_init`` restarts and the quality measures, best k by silhouette flagged
+    (ties: the smaller); rows for a table. All k and restarts share their passes (kmeans_many)."""
+    from .kmeans_many import kmeans_many, quality_many
+    from .vector_blocks import pack
+    blocks = pack(df, [key], vec)
+    found = kmeans_many(blocks, list(k_range), n_init, seed)
+    quality = quality_many(blocks, {k: c.centers for k, c in found.items()}) if found else {}
+    blocks.close()
+    rows = [(k, found[k].cost, *(quality[k][m] for m in ("silhouette_sq", "davies_bouldin", "calinski_harabasz"))) for k in sorted(found)]
     best = max(rows, key=lambda r: (r[2], -r[0]), default=(None,))[0]
     return [(*r, int(r[0] == best)) for r in rows]

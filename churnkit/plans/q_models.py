@@ -240,9 +240,8 @@ def hierarchical(spark, sf_dir):
 @register("c1_c8_h6_k_search")
 def k_search(spark, sf_dir):
     """H6: k-means cost and scalable quality per k on the feature table (train + val)."""
-    from ..operators.prep import feature_columns
     f = vec_table(spark, sf_dir).filter(F.col("split").isin("train", "val"))
-    rows = CL.k_search(f, feature_columns())
+    rows = CL.k_search(f)
     return round_doubles(spark.createDataFrame(rows, "k int, inertia double, silhouette_sq double, "
                                                "davies_bouldin double, calinski_harabasz double, is_best int"))
 
