@@ -90,6 +90,6 @@ def k_search(df: DataFrame, k_range=range(2, 15), seed: int = 42, vec: str = "fe
     found = kmeans_many(blocks, list(k_range), n_init, seed)
     quality = quality_many(blocks, {k: c.centers for k, c in found.items()}) if found else {}
     blocks.close()
-    rows = [(k, found[k].cost, *(quality[k][m] for m in ("silhouette_sq", "davies_bouldin", "calinski_harabasz"))) for k in sorted(found)]
+    rows = [(k, found[k].cost, *(float(quality[k][m]) for m in ("silhouette_sq", "davies_bouldin", "calinski_harabasz"))) for k in sorted(found)]
     best = max(rows, key=lambda r: (r[2], -r[0]), default=(None,))[0]
     return [(*r, int(r[0] == best)) for r in rows]

@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .vector_blocks import Blocks, _matrix
@@ -176,7 +176,7 @@ def _fit(blocks, problems, loss, d, p, expand, tol, max_passes) -> list[LinearFi
 
 
 def score_many(df: DataFrame, fits: Sequence[LinearFit], *, probability: bool = True, keep: Sequence[str] = ("row_id", "label", "split"),
-               vec: str = "features", held_out: bool = False) -> DataFrame:
+               vec: str | Column = "features", held_out: bool = False) -> DataFrame:
     """The long predictions table (``keep``..., model, score, prediction) of all fits.
 
     score is the probability, or the margin. With ``held_out`` a row is scored only by the fits that left its
@@ -189,7 +189,7 @@ def score_many(df: DataFrame, fits: Sequence[LinearFit], *, probability: bool =
     names = pa.array([q.problem.name for q in fits])
     folds = np.array([q.problem.leave_fold for q in fits])
     shared = df.sparkSession.sparkContext.broadcast(list(fits))
-    cols = [vector_to_array(vec).alias("x"), *keep, *([F.col("fold").alias("_fold")] if held_out else [])]
+    cols = [(vec if isinstance(vec, Column) else vector_to_array(vec)).alias("x"), *keep, *([F.col("fold").alias("_fold")] if held_out else [])]
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -114,10 +114,16 @@ def random_forest(df: DataFrame, n_trees: int = 100, max_depth: int = 10, name:
 
 
 def gradient_boosting(df: DataFrame, n_trees: int = 100, max_depth: int = 3, rate: float = 0.1,
-                      subsample: float = 1.0, name: str = "GradientBoosting", seed: int = 42):
-    """Logistic-loss boosted trees."""
-    m = GBTClassifier(maxIter=n_trees, maxDepth=max_depth, stepSize=rate, subsamplingRate=subsample,
-                      seed=seed).fit(fit_input(df)[0])
+                      subsample: float = 1.0, name: str = "GradientBoosting", seed: int = 42, *,
+                      column_share: float = 1.0, min_gain: float = 0.0, min_leaf: int = 1):
+    """Logistic-loss boosted trees.
+
+    ``column_share`` (columns tried at a split), ``min_gain`` (of a split) and ``min_leaf`` (rows in a leaf)
+    stand for XGBoost's colsample, gamma and child weight.
+    """
+    m = GBTClassifier(maxIter=n_trees, maxDepth=max_depth, stepSize=rate, subsamplingRate=subsample, seed=seed,
+                      featureSubsetStrategy="all" if column_share >= 1 else str(column_share),
+                      minInfoGain=min_gain, minInstancesPerNode=min_leaf).fit(fit_input(df)[0])
     return m, _out(m.transform(df), name, _prob1())
 
 

@@ -44,6 +44,7 @@ class Blocks:
     width: int
     rows: int
     parts: int
+    held: DataFrame
 
     def sums(self, fn: Callable[[np.ndarray], np.ndarray], length: int) -> np.ndarray:
         """Sum of ``fn(block)``, vectors of ``length`` doubles, over all blocks."""
@@ -82,7 +83,7 @@ class Blocks:
         return self.df.mapInArrow(local, schema)
 
     def close(self) -> None:
-        self.df.unpersist()
+        self.held.unpersist()
 
 
 def pack(df: DataFrame, extra: Sequence[str | Column] = (), vec: str | Column = "features") -> Blocks:
@@ -101,4 +102,7 @@ def pack(df: DataFrame, extra: Sequence[str | Column] = (), vec: str | Column =
 
     packed = flat.mapInArrow(cut, "numbers binary, n long, width int").persist(StorageLevel.MEMORY_AND_DISK)
     size = packed.agg(F.sum("n"), F.max("width")).first()
-    return Blocks(packed.select("numbers"), size[1] or 0, size[0] or 0, packed.rdd.getNumPartitions())
+    rows, parts = size[0] or 0, packed.rdd.getNumPartitions()
+    tasks = max(1, min(parts, -(-rows // ROWS)))        # a task is worth a full block
+    numbers = packed.select("numbers")
+    return Blocks(numbers if tasks == parts else numbers.coalesce(tasks), size[1] or 0, rows, tasks, packed)

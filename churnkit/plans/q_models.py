@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from ..operators import clustering as CL
 from ..operators import kernels as K
 from ..operators import models as MD
-from ..operators.ensemble import comparison_table, final_report
 from ..operators.metrics import model_table, roc_auc
 from ..session import cut_lineage
 from .fixtures import PSEUDO_CLUSTER_SQL, cb_sql, churn_base
@@ -117,27 +116,6 @@ def f4_pca(spark, sf_dir):
 
 # --- full fits (rows-only in the driver) -------------------------------------------------------
 
-def _linear_family(spark, sf_dir):
-    d = vec_table(spark, sf_dir)
-    parts = [MD.logistic(d, 1.0, "l2", "LogisticRegression")[1],
-             MD.logistic(d, 0.1, "l1", "LogisticRegression_L1")[1],
-             MD.elastic_net(d)[1],
-             MD.ridge_classifier(d)[1],
-             MD.polynomial_logistic(d)[1],
-             MD.linear_svm(d)[1]]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-@register("l1_l6_l13_linear_models")
-def linear_models(spark, sf_dir):
-    """Test metrics per model (M20), sorted by AUC."""
-    p = _linear_family(spark, sf_dir).filter(F.col("split") == "test")
-    return round_doubles(model_table(p).orderBy(F.col("auc").desc_nulls_last(), "model"))
-
-
 @register("l7_l8_tree_models")
 def tree_models(spark, sf_dir):
     """Validation AUC next to test metrics."""
@@ -200,13 +178,6 @@ def learning_curve(spark, sf_dir):
     return round_doubles(lc(d))
 
 
-@register("e2_stacking")
-def stacking(spark, sf_dir):
-    from ..operators.tuning import stacking as st
-    d = vec_table(spark, sf_dir)
-    return round_doubles(model_table(st(d).filter(F.col("split") == "test")))
-
-
 @register("e5_isotonic_calibration")
 def calibration(spark, sf_dir):
     from ..operators.tuning import isotonic_calibration
@@ -279,13 +250,6 @@ def attributions(spark, sf_dir):
     return round_doubles(linear_attributions(d.filter(F.col("split") == "test"), lr, feature_columns()))
 
 
-@register("r3_best_model")
-def best_model(spark, sf_dir):
-    """Comparison of the linear family and the best model by test AUC."""
-    p = _linear_family(spark, sf_dir).filter(F.col("split") == "test")
-    return round_doubles(final_report(comparison_table(p.select("row_id", "label", "model", "score", "prediction"))))
-
-
 @register("io10_batch_scoring")
 def batch_scoring(spark, sf_dir):
     """IO7/IO8/IO10: fit two pipelines (scaling included), save them, load those that exist, choose the one with
