@@ -2,7 +2,8 @@
 
 Each problem minimises sum(loss) + (1 / C) * ((1 - l1_ratio) / 2 * |w|^2 + l1_ratio * |w|_1)
 over the rows it may see: those of other folds than ``leave_fold`` whose rank is at
-most ``max_rank``. The loss is logistic or the squared hinge. All problems advance
+most ``max_rank``. The loss is ``logistic``, ``squared_hinge`` or ``squared``
+(distance to -1 and 1; ridge with alpha is C = 1 / (2 alpha)). All problems advance
 by proximal Newton steps at once: one pass over the packed rows gives every
 problem's loss, gradient and second derivatives (matrix products per block, one
 sum), the driver solves the small quadratic problems, and problems that have
@@ -29,6 +30,8 @@ from .vector_blocks import Blocks, _matrix
 
 #: Passes before a fit is given up with a warning, and second derivatives (doubles) of one pass.
 MAX_PASSES, CELLS = 200, 500_000
+#: Share of the objective below which a step's worth counts as nothing (with an L1 term, steps are inexact).
+FLAT, FLAT_L1 = 1e-12, 1e-8
 
 
 @dataclass(frozen=True)
@@ -65,6 +68,8 @@ def _derivatives(loss: str, z: np.ndarray, y: np.ndarray):
     if loss == "logistic":
         p = sigmoid(z)
         return np.logaddexp(0, -s * z), p - y[:, None], p * (1 - p)
+    if loss == "squared":       # distance to the labels -1 and 1
+        return (z - s) ** 2, 2 * (z - s), np.full_like(z, 2.0)
     gap = np.maximum(0, 1 - s * z)
     return gap * gap, -2 * s * gap, 2.0 * (gap > 0)
 
@@ -83,7 +88,7 @@ def _direction(grad, hess, w, l1):
         g, h, v, l1_ = grad[at], hess[at], w[at], l1[at]
         d, hd = np.zeros_like(g), np.zeros_like(g)
         diag = np.einsum("kii->ki", h)
-        for _ in range(1000):
+        for _ in range(50):
             moved = np.zeros(len(at))
             for j in range(p):
                 b, a = g[:, j] + hd[:, j], diag[:, j]
@@ -94,12 +99,37 @@ def _direction(grad, hess, w, l1):
                 d[:, j] += step
                 hd += step[:, None] * h[:, :, j]
                 moved = np.maximum(moved, np.abs(step) * np.sqrt(a))
-            if (moved < 1e-9 * np.maximum(1.0, np.sqrt(np.abs(np.einsum("ki,ki->k", g, d))))).all():
+            # the quadratic problem is solved to a share of what its step is worth
+            if (moved < 1e-12 + 1e-4 * np.sqrt(np.abs(np.einsum("ki,ki->k", g, d)))).all():
                 break
-        out[at] = d
+        out[at] = [_polished(*one) for one in zip(g, h, v, l1_, d, strict=True)]
     return out
 
 
+def _polished(g, h, w, l1, d):
+    """The step with its nonzero weights solved exactly, as far as none changes its sign (that one becomes 0, and again)."""
+    d = d.copy()
+    on = (w + d != 0) | (l1 == 0)
+    for _ in range(len(d)):
+        c = w + d
+        sign = np.sign(c)
+        if not on.any():
+            break
+        rest = h[np.ix_(on, ~on)] @ d[~on]
+        to = np.linalg.solve(h[np.ix_(on, on)], -(g[on] + l1[on] * sign[on] + rest))
+        crossing = (l1[on] > 0) & ((w[on] + to) * sign[on] < 0)
+        if not crossing.any():
+            d[on] = to
+            break
+        share = np.where(crossing, c[on] / np.where(crossing, c[on] - (w[on] + to), 1), 1.0)
+        first = int(share.argmin())
+        place = np.flatnonzero(on)
+        d[place] += share[first] * (to - d[place])
+        d[place[first]] = -w[place[first]]
+        on[place[first]] = False
+    return d
+
+
 def fit_many(blocks: Blocks, problems: Sequence[Problem], loss: str = "logistic", *, n_features: int | None = None,
              expand: Callable[[np.ndarray], np.ndarray] | None = None, tol: float = 1e-7, max_passes: int = MAX_PASSES) -> list[LinearFit]:
     """Fits of all ``problems`` over blocks of (features..., label, fold, rank); ``expand`` maps a block's features to
@@ -167,7 +197,9 @@ def _fit(blocks, problems, loss, d, p, expand, tol, max_passes) -> list[LinearFi
         slope[ok] = (grad[good] * move[ok]).sum(axis=1) + (l1[ok] * (np.abs(w[ok] + move[ok]) - np.abs(w[ok]))).sum(axis=1)
         step[ok] = 1.0
         trial[ok] = w[ok] + move[ok]
-        settled[ok] = (np.abs(move[ok]).max(axis=1) <= tol * (1 + np.abs(w[ok]).max(axis=1))) | (slope[ok] >= 0)
+        # settled where the next step is small, or worth nothing (collinear columns leave flat directions)
+        settled[ok] = ((np.abs(move[ok]).max(axis=1) <= tol * (1 + np.abs(w[ok]).max(axis=1)))
+                       | (slope[ok] >= -FLAT * np.maximum(np.abs(best[ok]), 1)))
     for q, done in zip(problems, settled, strict=True):
         if blocks.rows and not done:
             warnings.warn(f"{q.name}: stopped after {max_passes} passes before it settled", stacklevel=3)
@@ -211,6 +243,30 @@ def score_many(df: DataFrame, fits: Sequence[LinearFit], *, probability: bool =
     return df.select(*cols).mapInArrow(score, schema)
 
 
+def seen_and_held(df: DataFrame, fits: Sequence[LinearFit], vec: str = "features") -> DataFrame:
+    """(model, fold, part, label, score): each fit's margins of its own training rows (``train``: other folds, rank within
+    its limit) and of the fold it left out (``held``). ``df`` has label, fold, rank."""
+    shared = df.sparkSession.sparkContext.broadcast(list(fits))
+    names = pa.array([q.problem.name for q in fits])
+    folds, limits = (np.array([getattr(q.problem, a) for q in fits]) for a in ("leave_fold", "max_rank"))
+
+    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            margins = np.column_stack([q.margin(_matrix(batch)) for q in shared.value])
+            fold, rank = (batch.column(k).to_numpy(zero_copy_only=False)[:, None] for k in (2, 3))
+            held = fold == folds
+            row, fit = np.nonzero(held | (rank <= limits))
+            part = pa.array(np.where(held[row, fit], "held", "train"))
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(fit)), pa.array(folds[fit], pa.int32()), part,
+                                              batch.column(1).take(pa.array(row)), pa.array(margins[row, fit])],
+                                             ["model", "fold", "part", "label", "score"])
+
+    cols = [vector_to_array(vec).alias("x"), F.col("label").cast("int").alias("label"), "fold", F.col("rank").cast("double").alias("rank")]
+    return df.select(*cols).mapInArrow(score, "model string, fold int, part string, label int, score double")
+
+
 @dataclass
 class Polynomial:
     """All features and products of two, less ``mean``, over ``std``."""

@@ -1,29 +1,37 @@
-"""Tuning, resampling, stacking and calibration.
+"""Tuning, resampling, stacking and calibration.
 
 Folds come from the exact stratified ``ntile`` folds (W2) so that every
-candidate sees the same rows; candidates are fitted in parallel threads by
-``CrossValidator(parallelism=...)``.
+candidate sees the same rows. Linear candidates of all folds are fitted in shared
+passes (linear_many); tree candidates are read as prefixes of a few fits
+(tree_tables), which run in a few driver threads.
 """
 
 from __future__ import annotations
 
+import itertools
+import random
 from collections.abc import Sequence
-from fractions import Fraction
+from dataclasses import replace
+from functools import partial
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.regression import DecisionTreeRegressor, IsotonicRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import models as MD
 from .ensemble import pivot_predictions
+from .kernels import nystrom
+from .linear_many import LinearFit, Problem, fit_many, score_many, seen_and_held
 from .metrics import roc_auc
-from .split import class_rank, stratified_folds
+from .ordered import attach
+from .panel import fit_all
+from .split import class_rank, hash_sample, stratified_folds
+from .tree_tables import Prefix, read_trees, score_prefixes
+from .vector_blocks import pack
 
 
 def with_folds(df: DataFrame, folds: int, seed: int = 42) -> DataFrame:
@@ -31,23 +39,171 @@ def with_folds(df: DataFrame, folds: int, seed: int = 42) -> DataFrame:
     return stratified_folds(MD.train_rows(df), "label", folds, seed)
 
 
-def grid_search_logistic(df: DataFrame, Cs: Sequence[float], folds: int = 5, parallelism: int = 4) -> DataFrame:
-    """H1: CV AUC per C (regParam = 1 / (C n)); the best (first strict maximum) is flagged."""
-    tr = with_folds(df, folds).persist()
-    n = tr.count()
-    lr = LogisticRegression(standardization=False, maxIter=MD.MAX_ITER)
-    grid = ParamGridBuilder().addGrid(lr.regParam, [1.0 / (c * n) for c in Cs]).build()
-    ev = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", metricName="areaUnderROC", numBins=0)
-    cvm = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=ev, numFolds=folds, foldCol="fold",
-                         parallelism=parallelism).fit(tr)
+#: The reference's three grids of the logistic model: penalty, values of C, shares of L1. Its solvers reach one optimum.
+LOGISTIC_GRIDS = [("l1", (0.001, 0.01, 0.1, 1.0, 10.0, 100.0), (1.0,)),
+                  ("l2", (0.001, 0.01, 0.1, 1.0, 10.0, 100.0), (0.0,)),
+                  ("elasticnet", (0.001, 0.01, 0.1, 1.0, 10.0), (0.2, 0.5, 0.8))]
+#: The valid half of its linear SVM grid (the plain hinge has no primal solver there).
+SVM_GRIDS = [("l1", (0.001, 0.01, 0.1, 1.0, 10.0, 100.0), (1.0,)), ("l2", (0.001, 0.01, 0.1, 1.0, 10.0, 100.0), (0.0,))]
+CV_CS = tuple(10.0 ** (-4 + 8 * i / 9) for i in range(10))
+
+
+def _rows(df: DataFrame) -> DataFrame:
+    return df.select("row_id", "label", "split", "features")
+
+
+def _summary(spark, candidates: Sequence[tuple], fields: str, aucs: DataFrame) -> DataFrame:
+    """One row per candidate: ``fields``, mean and population std of its folds' AUCs, and the first strict maximum flagged.
+
+    ``aucs`` has one row per candidate and fold; ``candidates`` are tuples, the first member is the model's name.
+    """
+    by: dict[str, dict] = {}
+    for r in aucs.collect():
+        by.setdefault(r["model"], {})[r["fold"]] = r["auc"]
+    rows, best = [], None
+    for c in candidates:
+        folds = [by.get(c[0], {})[k] for k in sorted(by.get(c[0], {})) if by[c[0]][k] is not None]
+        mean = sum(folds) / len(folds) if folds else None
+        std = (sum((a - mean) ** 2 for a in folds) / len(folds)) ** 0.5 if folds else None
+        rows.append([*c[1:], mean, std, folds, 0])
+        if mean is not None and (best is None or mean > rows[best][-4]):
+            best = len(rows) - 1
+    if best is not None:
+        rows[best][-1] = 1
+    return spark.createDataFrame([tuple(r) for r in rows], f"{fields}, mean_auc double, std_auc double, fold_auc array<double>, is_best int")
+
+
+def cv_linear(df: DataFrame, problems: Sequence[Problem], folds: int = 5, loss: str = "logistic") -> DataFrame:
+    """(model, fold, auc) of every problem on every fold it did not see; all (problem, fold) fits share their passes."""
+    tr = with_folds(_rows(df), folds).persist()
+    blocks = pack(tr, ["label", "fold", F.lit(0)])
+    fits = fit_many(blocks, [replace(p, leave_fold=k) for p in problems for k in range(folds)], loss)
+    out = cut_lineage(roc_auc(score_many(tr, fits, probability=False, keep=("label", "fold"), held_out=True), ["model", "fold"]))
+    blocks.close()
     tr.unpersist()
-    best = None
-    for i, a in enumerate(cvm.avgMetrics):
-        if best is None or a > cvm.avgMetrics[best]:
-            best = i
-    rows = [(float(c), float(a), float(s), int(i == best))
-            for i, (c, a, s) in enumerate(zip(Cs, cvm.avgMetrics, cvm.stdMetrics))]
-    return df.sparkSession.createDataFrame(rows, "C double, mean_auc double, std_auc double, is_best int")
+    return out
+
+
+def linear_grid(df: DataFrame, grids=LOGISTIC_GRIDS, folds: int = 5, loss: str = "logistic") -> DataFrame:
+    """H1: every (penalty, C, L1 share) of the grids by mean held-out AUC; the best, the first strict maximum over all grids, is flagged."""
+    candidates = [(f"{penalty}/{c!r}/{share!r}", penalty, float(c), float(share)) for penalty, cs, shares in grids for c in cs for share in shares]
+    aucs = cv_linear(df, [Problem(name, c, share) for name, _, c, share in candidates], folds, loss)
+    return _summary(df.sparkSession, candidates, "penalty string, C double, l1_ratio double", aucs)
+
+
+def best_linear(df: DataFrame, table: DataFrame, name: str, loss: str = "logistic") -> tuple[LinearFit, DataFrame]:
+    """The flagged candidate of ``linear_grid`` refitted on all train rows, and its predictions."""
+    row = table.where("is_best = 1").first()
+    blocks = pack(MD.train_rows(_rows(df)), ["label", F.lit(-2), F.lit(0)])
+    fit = fit_many(blocks, [Problem(name, row["C"], row["l1_ratio"])], loss)
+    blocks.close()
+    return fit[0], score_many(df, fit, probability=loss == "logistic")
+
+
+def logistic_cv(df: DataFrame, Cs: Sequence[float] = CV_CS, folds: int = 5) -> DataFrame:
+    """L3: ten values of C from 1e-4 to 1e4 by held-out AUC; ``best_linear`` refits the flagged one."""
+    return linear_grid(df, [("l2", tuple(Cs), (0.0,))], folds)
+
+
+def _kernel_aucs(df: DataFrame, jobs: Sequence[tuple[str, str, float | None, Sequence[float]]], folds: int, m: int) -> DataFrame:
+    """(model, fold, auc) of kernel machines: for each job (name, kernel, gamma, values of C) and fold the landmarks, gamma
+    and map come from the rows of the other folds alone; models are called name/C."""
+    tr = with_folds(_rows(df), folds).persist()
+    blocks = pack(tr, ["label", "fold", F.lit(0)])
+    scored: dict = {}
+
+    def run(name, kernel, gamma, cs, k):
+        made = nystrom(tr.where(F.col("fold") != k), kernel, m, gamma)
+        fits = fit_many(blocks, [Problem(f"{name}/{c!r}", c, leave_fold=k) for c in cs], "squared_hinge", n_features=len(made.z), expand=made)
+        scored[name, k] = score_many(tr.where(F.col("fold") == k), fits, probability=False, keep=("label", "fold"))
+
+    fit_all({f"{j[0]} {k}": partial(run, *j, k) for j in jobs for k in range(folds)}, df.sparkSession)
+    every = None
+    for key in sorted(scored):
+        every = scored[key] if every is None else every.unionByName(scored[key])
+    out = cut_lineage(roc_auc(every, ["model", "fold"]))
+    blocks.close()
+    tr.unpersist()
+    return out
+
+
+def kernel_comparison(df: DataFrame, kernels: Sequence[str] = ("linear", "rbf", "poly", "sigmoid"), folds: int = 3, m: int = 200) -> DataFrame:
+    """H4: held-out AUC of kernel machines, C = 1, gamma = 'scale'; nothing of the held-out fold enters the map."""
+    aucs = _kernel_aucs(df, [(k, k, None, (1.0,)) for k in kernels], folds, m)
+    return _summary(df.sparkSession, [(f"{k}/1.0", k) for k in kernels], "kernel string", aucs)
+
+
+def rbf_grid(df: DataFrame, sample: int = 2000, Cs: Sequence[float] = (0.1, 1.0, 10.0, 100.0),
+             gammas: Sequence[str | float] = ("scale", "auto", 0.001, 0.01, 0.1), folds: int = 3, m: int = 200) -> DataFrame:
+    """H1 for the RBF machine: 20 candidates, 3 folds, on ``sample`` train rows by hash order (the reference's own sample)."""
+    rows = hash_sample(MD.train_rows(_rows(df)), sample)
+    d = len(df.select("features").first()[0])
+    value = lambda g: None if g == "scale" else 1.0 / d if g == "auto" else float(g)       # noqa: E731
+    aucs = _kernel_aucs(rows, [(str(g), "rbf", value(g), Cs) for g in gammas], folds, m)
+    return _summary(df.sparkSession, [(f"{g}/{c!r}", str(g), float(c)) for c in Cs for g in gammas], "gamma string, C double", aucs)
+
+
+#: The reference's 192 candidates of the decision tree; depth 30 stands for no limit (Spark's deepest tree).
+TREE_GRID = {"depth": (3, 5, 7, 10, 15, 30), "min_split": (2, 5, 10, 20), "min_leaf": (1, 2, 4, 8), "criterion": ("gini", "entropy")}
+
+
+def _prefix_aucs(df: DataFrame, folds: int, fits: dict, candidates: Sequence[Prefix], threads: int) -> DataFrame:
+    """(model, fold, auc) of candidates that are prefixes of ``fits`` (name -> function of the train rows that gives a model)."""
+    tr = with_folds(_rows(df), folds).persist()
+    grown: dict = {}
+
+    def grow(name, k):
+        grown[name, k] = read_trees(fits[name](tr.where(F.col("fold") != k)))
+
+    fit_all({f"{name} {k}": partial(grow, name, k) for name in fits for k in range(folds)}, df.sparkSession, threads)
+    every = None
+    for k in range(folds):
+        p = score_prefixes(tr.where(F.col("fold") == k), {name: grown[name, k] for name in fits}, candidates, ["label", "fold"])
+        every = p if every is None else every.unionByName(p)
+    out = cut_lineage(roc_auc(every, ["model", "fold"]))
+    tr.unpersist()
+    return out
+
+
+def tree_grid(df: DataFrame, grid: dict = TREE_GRID, folds: int = 5, threads: int = 8) -> DataFrame:
+    """H1 for the decision tree: all candidates from one deep tree per criterion, least leaf and fold, since depth and
+    rows-to-split limits cut a tree to a prefix. 'gini' grows on the 0/1 label (variance = gini / 2); 'entropy' uses
+    Spark's classifier, which joins sibling leaves of one class."""
+    def fit(criterion, leaf, rows):
+        kind = DecisionTreeRegressor if criterion == "gini" else partial(DecisionTreeClassifier, impurity="entropy")
+        return kind(maxDepth=max(grid["depth"]), minInstancesPerNode=leaf, seed=42).fit(rows)
+
+    fits = {f"{c}/{leaf}": partial(fit, c, leaf) for c in grid["criterion"] for leaf in grid["min_leaf"]}
+    every = [(f"{c}/{leaf}/{d}/{s}", c, d, s, leaf) for c in grid["criterion"] for d in grid["depth"] for leaf in grid["min_leaf"] for s in grid["min_split"]]
+    aucs = _prefix_aucs(df, folds, fits, [Prefix(n, f"{c}/{leaf}", 1, d, s) for n, c, d, s, leaf in every], threads)
+    return _summary(df.sparkSession, every, "criterion string, max_depth int, min_samples_split int, min_samples_leaf int", aucs)
+
+
+#: Space of the random search over forests.
+FOREST_SPACE = {"n_trees": (100, 200, 300), "depth": (3, 5, 7, 9), "min_leaf": (1, 3, 5), "subsample": (0.6, 0.8, 1.0)}
+
+
+def forest_search(df: DataFrame, space: dict = FOREST_SPACE, n_iter: int = 50, folds: int = 5, seed: int = 42, threads: int = 8) -> DataFrame:
+    """H2: ``n_iter`` draws without replacement from the product of ``space``, by held-out AUC.
+
+    Draws that differ only in depth or number of trees are prefixes of one forest per (least leaf, subsample) and
+    fold, grown to the largest of both that was drawn. Separate fits of the same seed would draw other rows
+    and columns; the candidates of one forest here share theirs.
+    """
+    combos = list(itertools.product(*space.values()))
+    drawn = [dict(zip(space, c, strict=True)) for c in random.Random(seed).sample(combos, min(n_iter, len(combos)))]
+    kinds = sorted({(c["min_leaf"], c["subsample"]) for c in drawn})
+
+    def fit(leaf, share, rows):
+        mine = [c for c in drawn if (c["min_leaf"], c["subsample"]) == (leaf, share)]
+        return RandomForestRegressor(numTrees=max(c["n_trees"] for c in mine), maxDepth=max(c["depth"] for c in mine), minInstancesPerNode=leaf,
+                                     subsamplingRate=share, featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=1024).fit(rows)
+
+    name = lambda c: "/".join(str(c[k]) for k in space)     # noqa: E731
+    every = [(name(c), c["n_trees"], c["depth"], c["min_leaf"], c["subsample"]) for c in drawn]
+    aucs = _prefix_aucs(df, folds, {f"{leaf}/{share}": partial(fit, leaf, share) for leaf, share in kinds},
+                        [Prefix(name(c), f"{c['min_leaf']}/{c['subsample']}", c["n_trees"], c["depth"]) for c in drawn], threads)
+    return _summary(df.sparkSession, every, "n_trees int, max_depth int, min_leaf int, subsample double", aucs)
 
 
 def _fold_fits(tr: DataFrame, folds: int, fit):
@@ -82,37 +238,59 @@ def fold_table(df: DataFrame, folds: int) -> DataFrame:
     return cut_lineage(with_folds(df, folds))
 
 
-def cv_auc(df: DataFrame, folds: int = 5, families=None) -> DataFrame:
-    """H3/H4: AUC of every fold, mean and population std per model."""
-    families = families or DEFAULT_FAMILIES
-    tr = fold_table(df, folds)
-    allp = None
-    for name, fit in families.items():
-        p = _fold_fits(tr, folds, fit).withColumn("model", F.lit(name))
-        allp = p if allp is None else allp.unionByName(p)
-    per_fold = roc_auc(allp, ["model", "fold"])
+#: Linear families of the cross-validated comparison: loss and problem.
+CV_LINEAR = [("logistic", Problem("LogisticRegression")), ("logistic", Problem("LogisticRegression_L1", 0.1, 1.0)),
+             ("squared", Problem("RidgeClassifier", 0.5)), ("squared_hinge", Problem("LinearSVM", penalise_intercept=True))]
+
+
+def cv_auc(df: DataFrame, folds: int = 5, families=None, linear: Sequence[tuple[str, Problem]] = CV_LINEAR) -> DataFrame:
+    """H3: AUC of every fold, mean and population std per model; linear families share their passes, others fit per fold."""
+    families = {"DecisionTree": DEFAULT_FAMILIES["DecisionTree"]} if families is None else families
+    n = MD.train_rows(df).count() * (folds - 1) // folds
+    problems = [*linear, ("logistic", Problem("ElasticNet", 1.0 / (0.1 * max(n, 1)), 0.5))] if linear is CV_LINEAR else list(linear)
+    per_fold = None
+    for loss in sorted({one for one, _ in problems}):
+        a = cv_linear(df, [p for one, p in problems if one == loss], folds, loss)
+        per_fold = a if per_fold is None else per_fold.unionByName(a)
+    if families:
+        tr = fold_table(_rows(df), folds)
+        for name, fit in families.items():
+            a = roc_auc(_fold_fits(tr, folds, fit).withColumn("model", F.lit(name)), ["model", "fold"])
+            per_fold = a if per_fold is None else per_fold.unionByName(a)
     return per_fold.groupBy("model").agg(
         F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("std_auc"),
         F.transform(F.array_sort(F.collect_list(F.struct("fold", "auc"))), lambda s: s["auc"]).alias("fold_auc"))
 
 
-def learning_curve(df: DataFrame, fractions=tuple(i / 10 for i in range(1, 11)), max_iter: int = MD.MAX_ITER) -> DataFrame:
-    """H5: for growing hash-order prefixes of the train rows, train and validation AUC.
+#: The four models of the learning curves.
+CURVE_MODELS = [("logistic", Problem("LogisticRegression")), ("logistic", Problem("LogisticRegression_L1", 0.1, 1.0)),
+                ("squared", Problem("RidgeClassifier", 0.5)), ("squared_hinge", Problem("LinearSVM", penalise_intercept=True))]
 
-    Rows are ranked once; a prefix is a filter on the rank.
+
+def learning_curve(df: DataFrame, fractions=tuple(i / 10 for i in range(1, 11)), folds: int = 5,
+                   models: Sequence[tuple[str, Problem]] = CURVE_MODELS) -> DataFrame:
+    """H5: per model and fraction the mean and population std over the folds of the train AUC and of the held-out AUC.
+
+    Inside each fold the rows have a second hash order; the prefix of fraction f takes the first f of every
+    other fold (T5). All (model, fraction, fold) fits of a loss share their passes.
     """
-    ranked = cut_lineage(class_rank(MD.train_rows(df), None))
-    n = ranked.count()
-    val = df.filter(F.col("split") == "val")
-    out = None
-    for f in fractions:
-        size = int(Fraction(str(f)) * n)
-        sub = ranked.filter(F.col("_rank") <= size).drop("_rank").unionByName(val)
-        p = MD.logistic(sub, max_iter=max_iter, n_train=size)[1].withColumns({"fraction": F.lit(float(f)), "n_train": F.lit(size).cast("long")})
-        out = p if out is None else out.unionByName(p)
-    auc = roc_auc(out, ["fraction", "n_train", "split"])
-    return auc.groupBy("fraction", "n_train").agg(F.max(F.when(F.col("split") == "train", F.col("auc"))).alias("train_auc"),
-                                                  F.max(F.when(F.col("split") == "val", F.col("auc"))).alias("val_auc"))
+    tr = class_rank(with_folds(_rows(df), folds), "fold", seed=43)
+    sizes = with_folds(_rows(df), folds).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+    tr = attach(tr, sizes, ["fold"]).withColumn("rank", F.col("_rank") / F.col("n")).drop("_rank", "n").persist()
+    blocks = pack(tr, ["label", "fold", "rank"])
+    scored = None
+    for loss in sorted({one for one, _ in models}):
+        problems = [replace(p, name=f"{p.name}@{f!r}", leave_fold=k, max_rank=f) for one, p in models if one == loss for f in fractions for k in range(folds)]
+        part = seen_and_held(tr, fit_many(blocks, problems, loss))
+        scored = part if scored is None else scored.unionByName(part)
+    auc = cut_lineage(roc_auc(scored, ["model", "fold", "part"]))
+    blocks.close()
+    tr.unpersist()
+    at = F.split("model", "@")
+    side = lambda fn, part: fn(F.when(F.col("part") == part, F.col("auc")))      # noqa: E731
+    return auc.groupBy(at[0].alias("model"), at[1].cast("double").alias("fraction")).agg(
+        side(F.avg, "train").alias("train_auc"), side(F.stddev_pop, "train").alias("train_std"),
+        side(F.avg, "held").alias("val_auc"), side(F.stddev_pop, "held").alias("val_std"), F.countDistinct("fold").alias("folds"))
 
 
 def stacking(df: DataFrame, folds: int = 5, families=None, name: str = "Stacking Ensemble") -> DataFrame:
@@ -167,28 +345,3 @@ def isotonic_calibration(df: DataFrame, folds: int = 3, fit=None, name: str = "L
     return (before.withColumns({"auc_after": after.scalar()})
             .select(F.lit(name).alias("model"), "auc_before", "auc_after",
                     (F.col("auc_after") - F.col("auc_before")).alias("improvement")))
-
-
-def random_search(df: DataFrame, estimator, space: dict, n_iter: int = 50, folds: int = 5, seed: int = 42,
-                  score_col: str = "prediction", parallelism: int = 4) -> DataFrame:
-    """H2: ``n_iter`` draws without replacement from the product of ``space``
-    (param -> list of values, seeded), cross-validated on exact stratified folds.
-
-    The candidate list is a small driver-side list of parameter maps; every
-    fit and evaluation runs on Spark.
-    """
-    import itertools
-    import random
-    keys = list(space)
-    combos = list(itertools.product(*[space[k] for k in keys]))
-    picks = random.Random(seed).sample(combos, min(n_iter, len(combos)))
-    maps = [{k: v for k, v in zip(keys, c)} for c in picks]
-    tr = with_folds(df, folds).persist()
-    ev = BinaryClassificationEvaluator(rawPredictionCol=score_col, metricName="areaUnderROC", numBins=0)
-    cvm = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=ev, numFolds=folds,
-                         foldCol="fold", parallelism=parallelism).fit(tr)
-    tr.unpersist()
-    best = max(range(len(maps)), key=lambda i: (cvm.avgMetrics[i], -i))
-    rows = [(str({p.name: v for p, v in m.items()}), float(a), float(s), int(i == best))
-            for i, (m, a, s) in enumerate(zip(maps, cvm.avgMetrics, cvm.stdMetrics))]
-    return df.sparkSession.createDataFrame(rows, "params string, mean_auc double, std_auc double, is_best int")

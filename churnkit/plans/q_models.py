@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from ..operators import clustering as CL
 from ..operators import kernels as K
 from ..operators import models as MD
-from ..operators.metrics import model_table, roc_auc
+from ..operators import tuning
+from ..operators.metrics import model_table, roc_auc, val_test_table
 from ..session import cut_lineage
 from .fixtures import PSEUDO_CLUSTER_SQL, cb_sql, churn_base
 from .pipeline import churn_features, with_vector
@@ -119,7 +120,6 @@ def f4_pca(spark, sf_dir):
 @register("l7_l8_tree_models")
 def tree_models(spark, sf_dir):
     """Validation AUC next to test metrics."""
-    from ..operators.metrics import val_test_table
     d = vec_table(spark, sf_dir)
     p = MD.decision_tree(d, 5)[1].unionByName(MD.random_forest(d)[1])
     return round_doubles(val_test_table(p))
@@ -157,32 +157,63 @@ def kernel_svms(spark, sf_dir):
 
 @register("h1_grid_search")
 def grid_search(spark, sf_dir):
-    """H1: exhaustive grid over C for L2 logistic, 5 stratified folds (W2), AUC; the best is flagged."""
-    from ..operators.tuning import grid_search_logistic
+    """H1: the logistic model's three grids (27 distinct candidates), 5 stratified folds (W2), AUC; the best is flagged."""
+    return round_doubles(tuning.linear_grid(vec_table(spark, sf_dir), folds=5).drop("fold_auc"))
+
+
+@register("h1_tuned_logistic")
+def tuned_logistic(spark, sf_dir):
+    """H1: the best candidate refitted on all train rows: validation AUC and test metrics."""
     d = vec_table(spark, sf_dir)
-    return round_doubles(grid_search_logistic(d, [0.001, 0.01, 0.1, 1.0, 10.0, 100.0], folds=5))
+    _, p = tuning.best_linear(d, tuning.linear_grid(d, folds=5), "LogisticRegression_Tuned")
+    return round_doubles(val_test_table(p))
+
+
+@register("l3_logistic_cv")
+def logistic_cv(spark, sf_dir):
+    """L3: ten values of C, 5 folds, AUC of each, best flagged."""
+    return round_doubles(tuning.logistic_cv(vec_table(spark, sf_dir), folds=5).select("C", "mean_auc", "std_auc", "is_best"))
+
+
+@register("h1_linear_svm_grid")
+def linear_svm_grid(spark, sf_dir):
+    """H1: linear SVM, penalty x C with the squared hinge, 5 folds."""
+    return round_doubles(tuning.linear_grid(vec_table(spark, sf_dir), tuning.SVM_GRIDS, folds=5, loss="squared_hinge").drop("fold_auc", "l1_ratio"))
+
+
+@register("h1_rbf_grid")
+def rbf_grid(spark, sf_dir):
+    """H1: RBF machine, C x gamma, 3 folds on 2000 sampled train rows."""
+    return round_doubles(tuning.rbf_grid(vec_table(spark, sf_dir), folds=3).drop("fold_auc"))
+
+
+@register("h1_tree_grid")
+def tree_grid(spark, sf_dir):
+    """H1: decision tree, all 192 candidates, 5 folds."""
+    return round_doubles(tuning.tree_grid(vec_table(spark, sf_dir), folds=5).drop("fold_auc"))
 
 
 @register("h3_cv_scores")
 def cv_scores(spark, sf_dir):
-    """H3/H4: per-fold AUC, mean and std (ddof 0) for several models."""
-    from ..operators.tuning import cv_auc
-    d = vec_table(spark, sf_dir)
-    return round_doubles(cv_auc(d))
+    """H3: per-fold AUC, mean and std (ddof 0) for the linear families and the decision tree."""
+    return round_doubles(tuning.cv_auc(vec_table(spark, sf_dir)))
+
+
+@register("h4_kernel_comparison")
+def kernel_comparison(spark, sf_dir):
+    """H4: linear, rbf, poly and sigmoid machines, 3 folds, mean and std of the held-out AUC."""
+    return round_doubles(tuning.kernel_comparison(vec_table(spark, sf_dir), folds=3).drop("fold_auc"))
 
 
 @register("h5_learning_curve")
 def learning_curve(spark, sf_dir):
-    from ..operators.tuning import learning_curve as lc
-    d = vec_table(spark, sf_dir)
-    return round_doubles(lc(d))
+    """H5: four models x ten fractions x five folds."""
+    return round_doubles(tuning.learning_curve(vec_table(spark, sf_dir)))
 
 
 @register("e5_isotonic_calibration")
 def calibration(spark, sf_dir):
-    from ..operators.tuning import isotonic_calibration
-    d = vec_table(spark, sf_dir)
-    return round_doubles(isotonic_calibration(d))
+    return round_doubles(tuning.isotonic_calibration(vec_table(spark, sf_dir)))
 
 
 @register("c4_gmm_bic_aic")
@@ -324,10 +355,5 @@ def pca_points_query(spark, sf_dir):
 
 @register("h2_random_search")
 def random_search(spark, sf_dir):
-    """H2: seeded random search over a random-forest space, 50 draws, 5 folds, AUC on the leaf-mean score."""
-    from pyspark.ml.regression import RandomForestRegressor
-    from ..operators.tuning import random_search as rs
-    d = vec_table(spark, sf_dir)
-    rf = RandomForestRegressor(featureSubsetStrategy="sqrt", seed=42)
-    space = {rf.numTrees: [100, 200, 300], rf.maxDepth: [3, 5, 7, 9], rf.minInstancesPerNode: [1, 3, 5], rf.subsamplingRate: [0.6, 0.8, 1.0]}
-    return round_doubles(rs(d, rf, space))
+    """H2: seeded random search over forests, 50 draws, 5 folds, AUC on the leaf-mean score."""
+    return round_doubles(tuning.forest_search(vec_table(spark, sf_dir), n_iter=50, folds=5).drop("fold_auc"))
