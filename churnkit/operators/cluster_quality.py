@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +66,53 @@ def silhouette_sqeuclidean(df: DataFrame, cols: Sequence[str], cluster: str = "c
     return pts.agg(F.avg(s).alias("silhouette_sq"))
 
 
+#: Rows in a block of points, and query rows that meet it at a time.
+BLOCK, SLICE = 16384, 4096
+
+
+def silhouette_euclidean(df: DataFrame, cols: Sequence[str], is_query: Column, cluster: str = "cluster", row_id: str = "row_id") -> DataFrame:
+    """M14 (Euclidean form): mean silhouette of the rows that ``is_query`` selects, against all rows, noise excluded.
+
+    Blocks of points meet slices of query rows in grouped tasks; what leaves a task is one sum of distances
+    for each query row and cluster. A cluster of one row scores 0; with one cluster the result is null.
+    """
+    rows = df.where(F.col(cluster) != -1).select(F.col(row_id).alias("id"), F.col(cluster).cast("int").alias("c"), _vec(cols).alias("x"))
+    asked = df.where((F.col(cluster) != -1) & is_query).select(F.col(row_id).alias("id"), F.col(cluster).cast("int").alias("c"), _vec(cols).alias("x"))
+    blocks, slices = (max(1, -(-part.count() // size)) for part, size in ((rows, BLOCK), (asked, SLICE)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))         # noqa: E731
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")        # noqa: E731
+
+    def sums(points: pa.Table, queries: pa.Table) -> pa.Table:
+        matrix = lambda t: t["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)       # noqa: E731
+        out = {"id": [], "c": [], "other": [], "total": [], "n": []}
+        if len(points) and len(queries):
+            p, q, c = matrix(points), matrix(queries), points["c"].to_numpy()
+            kinds, of = np.unique(c, return_inverse=True)
+            own = np.eye(len(kinds))[of]
+            count = own.sum(axis=0)
+            for i in range(0, len(q), 64):
+                far = np.sqrt(((q[i:i + 64, None, :] - p[None, :, :]) ** 2).sum(axis=2)) @ own
+                k = len(far)
+                out["id"] += np.repeat(queries["id"].to_numpy()[i:i + k], len(kinds)).tolist()
+                out["c"] += np.repeat(queries["c"].to_numpy()[i:i + k], len(kinds)).tolist()
+                out["other"] += np.tile(kinds, k).tolist()
+                out["total"] += far.ravel().tolist()
+                out["n"] += np.tile(count, k).tolist()
+        return pa.table({"id": pa.array(out["id"], pa.int64()), "c": pa.array(out["c"], pa.int32()), "other": pa.array(out["other"], pa.int32()),
+                         "total": pa.array(out["total"], pa.float64()), "n": pa.array(out["n"], pa.float64())})
+
+    left = rows.select("id", "c", "x", dealt(blocks).alias("b"), every(slices).alias("s")).groupBy("b", "s")
+    right = asked.select("id", "c", "x", every(blocks).alias("b"), dealt(slices).alias("s")).groupBy("b", "s")
+    near = left.cogroup(right).applyInArrow(sums, "id long, c int, other int, total double, n double")
+    each = near.groupBy("id", "c", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    inside = F.col("c") == F.col("other")
+    per = each.groupBy("id").agg(F.max(F.when(inside, F.col("total") / F.nullif(F.col("n") - 1, F.lit(0.0)))).alias("a"), F.max(F.when(inside, F.col("n"))).alias("own"),
+                                 F.min(F.when(~inside, F.col("total") / F.col("n"))).alias("b"))
+    s = F.when(F.col("b").isNull(), None).when(F.col("own") <= 1, F.lit(0.0)).when(F.greatest("a", "b") == 0, F.lit(0.0)).otherwise(
+        (F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return per.agg(F.avg(s).alias("silhouette"), F.count(s).alias("n_rows"))
+
+
 def centroids(df: DataFrame, cols: Sequence[str], cluster: str = "cluster") -> DataFrame:
     st = cluster_stats(df, cols, cluster)
     return st.select("cluster", "n", F.transform("s", lambda v: v / F.col("n")).alias("mu"))

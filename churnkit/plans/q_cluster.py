@@ -151,3 +151,32 @@ def c11(spark, sf_dir):
     p = points(spark, sf_dir)
     return (p.select("row_id", F.lit("tenure_bands").alias("method"), "cluster")
             .unionByName(p.select("row_id", F.lit("charge_bands").alias("method"), F.col("cluster_b").alias("cluster"))))
+
+
+@register("m14_silhouette_euclidean", cb_sql(
+    PT + v_sql() +
+    ", pr AS (SELECT a.row_id, a.cluster AS ca, b.cluster AS cb2, sum(sqrt((a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2 - b.x2) * (a.x2 - b.x2))) AS d, count(*) AS n"
+    " FROM v a JOIN v b ON a.row_id <> b.row_id WHERE a.row_id % 100 = 1 GROUP BY a.row_id, a.cluster, b.cluster)"
+    ", sl AS (SELECT row_id, max(CASE WHEN ca = cb2 THEN d / n END) AS a, min(CASE WHEN ca <> cb2 THEN d / n END) AS b FROM pr GROUP BY row_id)"
+    " SELECT round(avg(CASE WHEN a IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette, count(b) AS n_rows FROM sl"))
+def m14_euclidean(spark, sf_dir):
+    """Euclidean silhouette of every hundredth row (row_id mod 100 = 1; multiples of 100 are noise here) against all rows."""
+    return round_doubles(Q.silhouette_euclidean(points(spark, sf_dir), XY, F.col("row_id") % 100 == 1))
+
+
+@register("c3_dbscan", cb_sql(
+    PT + ", nb AS MATERIALIZED (SELECT a.row_id AS a, b.row_id AS b FROM pt a JOIN pt b"
+    " ON (a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2 - b.x2) * (a.x2 - b.x2) <= 0.25 * 0.25)"
+    ", core AS MATERIALIZED (SELECT a FROM nb GROUP BY a HAVING count(*) >= 5)"
+    ", e AS MATERIALIZED (SELECT nb.a, nb.b FROM nb JOIN core ca ON nb.a = ca.a JOIN core cb3 ON nb.b = cb3.a)"
+    ", lab AS MATERIALIZED (WITH RECURSIVE r AS (SELECT a AS node, a AS l FROM core UNION SELECT e.b, r.l FROM r JOIN e ON e.a = r.node AND r.l < e.b)"
+    " SELECT node, min(l) AS l FROM r GROUP BY node)"
+    ", num AS (SELECT l, CAST(row_number() OVER (ORDER BY l) - 1 AS INTEGER) AS cluster FROM (SELECT DISTINCT l FROM lab))"
+    ", nodes AS (SELECT node, cluster FROM lab JOIN num USING (l))"
+    ", bo AS (SELECT nb.a, min(cluster) AS cluster FROM nb JOIN nodes ON nb.b = node GROUP BY nb.a)"
+    " SELECT row_id, coalesce(nodes.cluster, bo.cluster, -1) AS cluster, CAST(nodes.cluster IS NOT NULL AS INTEGER) AS is_core"
+    " FROM pt LEFT JOIN nodes ON row_id = node LEFT JOIN bo ON row_id = bo.a"))
+def c3_dbscan(spark, sf_dir):
+    """C3 on the 2-D points: eps 0.25, five rows make a core."""
+    from ..operators.dbscan import dbscan
+    return dbscan(points(spark, sf_dir), XY, 0.25, 5)

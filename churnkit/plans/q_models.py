@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
 from ..operators import clustering as CL
@@ -357,3 +359,51 @@ def pca_points_query(spark, sf_dir):
 def random_search(spark, sf_dir):
     """H2: seeded random search over forests, 50 draws, 5 folds, AUC on the leaf-mean score."""
     return round_doubles(tuning.forest_search(vec_table(spark, sf_dir), n_iter=50, folds=5).drop("fold_auc"))
+
+
+@register("r4_evaluate_stored")
+def evaluate_stored(spark, sf_dir):
+    """Two pipelines are fitted, registered with their test metrics, loaded again and scored against the test rows."""
+    from ..operators.scale import Standardizer
+    from ..session import ensure_checkpoint_dir
+    from ..sources.register import ModelRegister
+    from ..streaming.scoring import fit_pipeline
+    from .pipeline import scaled_columns
+    f = churn_features(spark, sf_dir, scale=False)
+    train, test = f.filter(F.col("split") == "train"), f.filter(F.col("split") == "test")
+    scaler = Standardizer(scaled_columns()).fit(train)
+
+    def score(table, model, name):
+        s = model.transform(table)
+        p1 = vector_to_array("probability")[1] if "probability" in s.columns else F.col("prediction")
+        return s.select("row_id", "label", F.lit(name).alias("model"), p1.cast("double").alias("score"), (p1 >= 0.5).cast("int").alias("prediction"))
+
+    stored = ModelRegister(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/register-{uuid.uuid4().hex}")
+    for name, estimator in (("logistic", LogisticRegression(regParam=1.0 / train.count(), standardization=False, maxIter=MD.MAX_ITER)),
+                            ("tree", DecisionTreeRegressor(maxDepth=5, seed=42))):
+        model = fit_pipeline(train, scaler, estimator)
+        at_fit = model_table(score(test, model, name)).first().asDict()
+        stored.add(name, model, train.columns, train, {k: v for k, v in at_fit.items() if k != "model"})
+    out = stored.evaluate(test, score, model_table)
+    return round_doubles(out).withColumn("equal", F.col("at_fit").eqNullSafe(F.col("now")).cast("int"))
+
+
+@register("m12_tree_attributions")
+def tree_attributions(spark, sf_dir):
+    """M12 on a forest: sampled Shapley values of 100 sampled test rows against 50 background rows; mean |value| per feature."""
+    from ..operators.explain import attribution_table, shapley_values
+    from ..operators.prep import feature_columns
+    from ..operators.split import hash_sample
+    from ..operators.tree_tables import read_trees
+    d = vec_table(spark, sf_dir).select("row_id", "label", "split", "features")
+    trees = read_trees(MD.random_forest(d)[0])
+    rows = hash_sample(d.filter(F.col("split") == "test"), 100).repartition(spark.sparkContext.defaultParallelism, "row_id")
+    return round_doubles(attribution_table(shapley_values(rows, MD.train_rows(d), trees.predict, feature_columns()), "RandomForest"))
+
+
+@register("c6_spectral")
+def spectral_clusters(spark, sf_dir):
+    """C6 (k = 2, RBF, gamma 'scale') on the feature table (train + val): every row's cluster."""
+    from ..operators.spectral import spectral
+    f = vec_table(spark, sf_dir).filter(F.col("split").isin("train", "val"))
+    return spectral(f, 2, gamma=K.gamma_scale(f))
