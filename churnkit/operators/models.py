@@ -105,9 +105,9 @@ def decision_tree(df: DataFrame, max_depth: int = 5, min_leaf: int = 1, name: st
     return m, _out(m.transform(df), name, F.col("prediction"))
 
 
-def random_forest(df: DataFrame, n_trees: int = 100, max_depth: int = 10, name: str = "RandomForest",
+def random_forest(df: DataFrame, n_trees: int = 100, max_depth: int = 30, name: str = "RandomForest",
                   seed: int = 42):
-    """Forest of regression trees on 0/1 (mean of leaf probabilities), sqrt feature subsets."""
+    """Forest of regression trees on 0/1 (mean of leaf probabilities), sqrt feature subsets; depth 30, Spark's most, stands for no limit."""
     m = RandomForestRegressor(numTrees=n_trees, maxDepth=max_depth, featureSubsetStrategy="sqrt",
                               seed=seed).fit(train_rows(df))
     return m, _out(m.transform(df), name, F.col("prediction"))

@@ -50,7 +50,7 @@ def build_churn_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         n_if(status == "P").alias("sp")))
     # Latest order date as a scalar subquery (one value, computed once).
     d = orders.select(F.max("o_orderdate")).scalar()
-    b = (customer.join(a, customer.c_custkey == a.o_custkey)
+    b = (customer.join(a, customer.c_custkey == a.o_custkey, "left").fillna(0, ["n", "total", "p1", "p2", "p3", "p4", "p5", "sf", "so", "sp"])
          .withColumn("ph", F.col("c_nationkey") % 10 != 0)
          .withColumn("inet", F.col("c_nationkey") % 3)
          .withColumn("tenure", ((F.col("c_custkey") * 37) % 73).cast("int")))
@@ -88,10 +88,10 @@ def build_churn_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("c_custkey") % 4 == 1, "Mailed check")
         .when(F.col("c_custkey") % 4 == 2, "Bank transfer (automatic)")
         .otherwise("Credit card (automatic)").alias("PaymentMethod"),
-        (F.floor(F.col("total").cast("double") / F.col("n") / 4000 * 100) / 100).alias("MonthlyCharges"),
+        F.when(F.col("n") > 0, F.floor(F.col("total").cast("double") / F.nullif(F.col("n"), F.lit(0)) / 4000 * 100) / 100).otherwise(0.0).alias("MonthlyCharges"),
         F.when(F.col("tenure") == 0, F.lit(" ")).otherwise(F.col("total").cast("string"))
         .alias("TotalCharges"),
-        yes_no(F.col("last_d") < d - F.expr("INTERVAL 270 DAYS")).alias("Churn"),
+        yes_no(F.col("last_d").isNull() | (F.col("last_d") < d - F.expr("INTERVAL 270 DAYS"))).alias("Churn"),
     )
 
 
@@ -109,9 +109,10 @@ a AS (
          sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS so,
          sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) AS sp
   FROM orders GROUP BY o_custkey),
-b AS (SELECT c.*, a.*, m.d, c_nationkey % 10 <> 0 AS ph, c_nationkey % 3 AS inet,
+b AS (SELECT c.*, coalesce(n, 0) AS n, last_d, coalesce(total, 0) AS total, coalesce(p1, 0) AS p1, coalesce(p2, 0) AS p2, coalesce(p3, 0) AS p3,
+             coalesce(p4, 0) AS p4, coalesce(p5, 0) AS p5, coalesce(sf, 0) AS sf, coalesce(so, 0) AS so, coalesce(sp, 0) AS sp, m.d, c_nationkey % 10 <> 0 AS ph, c_nationkey % 3 AS inet,
              CAST((c_custkey * 37) % 73 AS INT) AS tenure
-      FROM customer c JOIN a ON o_custkey = c_custkey CROSS JOIN m)
+      FROM customer c LEFT JOIN a ON o_custkey = c_custkey CROSS JOIN m)
 SELECT c_name AS customerID, c_custkey AS row_id,
   CASE WHEN c_custkey % 2 = 0 THEN 'Male' ELSE 'Female' END AS gender,
   CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS SeniorCitizen,
@@ -130,9 +131,9 @@ SELECT c_name AS customerID, c_custkey AS row_id,
   CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'One year' WHEN 'MACHINERY' THEN 'Two year' ELSE 'Month-to-month' END AS Contract,
   CASE WHEN n % 2 = 0 THEN 'Yes' ELSE 'No' END AS PaperlessBilling,
   CASE c_custkey % 4 WHEN 0 THEN 'Electronic check' WHEN 1 THEN 'Mailed check' WHEN 2 THEN 'Bank transfer (automatic)' ELSE 'Credit card (automatic)' END AS PaymentMethod,
-  floor(CAST(total AS DOUBLE) / n / 4000 * 100) / 100 AS MonthlyCharges,
+  CASE WHEN n > 0 THEN floor(CAST(total AS DOUBLE) / n / 4000 * 100) / 100 ELSE 0.0 END AS MonthlyCharges,
   CASE WHEN tenure = 0 THEN ' ' ELSE CAST(total AS VARCHAR(30)) END AS TotalCharges,
-  CASE WHEN last_d < d - INTERVAL '270' DAY THEN 'Yes' ELSE 'No' END AS Churn
+  CASE WHEN last_d IS NULL OR last_d < d - INTERVAL '270' DAY THEN 'Yes' ELSE 'No' END AS Churn
 FROM b
 """
 

@@ -101,13 +101,35 @@ def test_early_stopped_prefix_is_the_first_best(table):
 
 def test_learning_curve_and_stacking(table):
     df, _, _ = table
-    rows = sorted(TU.learning_curve(df, fractions=(0.2, 1.0)).collect())
-    assert [r.n_train for r in rows] == [72, 360] and all(r.val_auc > 0.8 for r in rows)
+    rows = TU.learning_curve(df, fractions=(0.2, 1.0), folds=3, models=TU.CURVE_MODELS[:1]).orderBy("fraction").collect()
+    assert [r.fraction for r in rows] == [0.2, 1.0] and all(r.val_auc > 0.8 and r.folds == 3 and r.val_std >= 0 for r in rows)
     fams = {"LogisticRegression": TU.DEFAULT_FAMILIES["LogisticRegression"], "DecisionTree": TU.DEFAULT_FAMILIES["DecisionTree"]}
     s = TU.stacking(df, folds=3, families=fams)
     assert s.where("split = 'test'").count() == 120
 
 
+def test_grids_equal_separate_fits(table):
+    """Batched linear candidates and tree prefixes have the AUC of a fit of their own on every fold."""
+    df, _, _ = table
+    grid = {(r.penalty, r.C): r for r in TU.linear_grid(df, [("l2", (0.01, 1.0), (0.0,)), ("l1", (0.1,), (1.0,))], folds=3).collect()}
+    assert sum(r.is_best for r in grid.values()) == 1 and max(grid.values(), key=lambda r: r.mean_auc).is_best == 1
+    tr = TU.fold_table(df.select("row_id", "label", "split", "features"), 3)
+    for c, penalty in ((0.01, "l2"), (0.1, "l1")):
+        own = {r.fold: r.auc for r in TU.roc_auc(TU._fold_fits(tr, 3, lambda d, c=c, p=penalty: MD.logistic(d, c, p)), ["fold"]).collect()}
+        assert np.allclose(grid[penalty, c].fold_auc, [own[k] for k in range(3)], atol=1e-4)
+    trees = {(r.criterion, r.max_depth): r for r in TU.tree_grid(df, {"depth": (2, 4), "min_split": (2,), "min_leaf": (2,), "criterion": ("gini", "entropy")}, folds=3).collect()}
+    own = {r.fold: r.auc for r in TU.roc_auc(TU._fold_fits(tr, 3, lambda d: MD.decision_tree(d, 2, 2)), ["fold"]).collect()}
+    assert len(trees) == 4 and np.allclose(trees["gini", 2].fold_auc, [own[k] for k in range(3)], atol=1e-9)
+    forests = TU.forest_search(df, {"n_trees": (3, 6), "depth": (2, 4), "min_leaf": (1,), "subsample": (0.8,)}, n_iter=4, folds=2)
+    assert forests.count() == 4 and forests.agg(F.min("mean_auc")).first()[0] > 0.7
+    cv = TU.logistic_cv(df, (0.01, 1.0), folds=3)
+    fit, p = TU.best_linear(df, cv, "Tuned")
+    model, _ = MD.logistic(df, fit.problem.C)
+    assert np.abs(fit.weights - model.coefficients.toArray()).max() < 1e-4 and p.count() == 600
+    kernels = TU.kernel_comparison(df, ("linear", "rbf"), folds=2, m=30).collect()
+    assert [len(r.fold_auc) for r in kernels] == [2, 2] and all(r.mean_auc > 0.8 for r in kernels)
+
+
 def test_hierarchical_covers_all_rows(table):
     df, _, _ = table
     _, lab = CL.hierarchical(df, 3)
