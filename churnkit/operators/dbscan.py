@@ -28,7 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import written
 from .components import connected_components
 from .ordered import dense_index
 
@@ -75,7 +75,7 @@ def _dense_edges(points: DataFrame, pairs: DataFrame, d: int, side: float, eps2:
         both = open_.join(left, on_left).join(right, on_right)
         near = _square([F.col(f"l_p{i}") for i in range(d)], [F.col(f"r_p{i}") for i in range(d)]) <= eps2
         may = _gap("l_", "r_", d) <= eps2
-        both = cut_lineage(both.where(may).select("a", "b", F.col("l_box").alias("pa"), F.col("r_box").alias("pb"), near.alias("near")))
+        both = written(both.where(may).select("a", "b", F.col("l_box").alias("pa"), F.col("r_box").alias("pb"), near.alias("near")))
         yes = both.where("near").select("a", "b").distinct()
         found = yes if found is None else found.union(yes)
         open_ = both.join(yes, ["a", "b"], "left_anti").select("a", "b", "pa", "pb").distinct()
@@ -104,7 +104,7 @@ def dbscan(df: DataFrame, cols: Sequence[str], eps: float = 0.5, min_samples: in
     cells = cells.withColumn("dense", (F.col("cell_n") >= min_samples) & F.lit(d <= 3))
     salt = F.pmod(F.xxhash64("pid"), F.lit(SALTS)).cast("int")
     marks = cells.select("cell", "dense", "cell_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    points = cut_lineage(points.withColumn("salt", salt).join(marks, ["cell", "salt"]))
+    points = written(points.withColumn("salt", salt).join(marks, ["cell", "salt"]))
 
     # points of sparse cells meet the points of all cells around
     offsets = [o for o in itertools.product(range(-reach, reach + 1), repeat=len(axes))]
@@ -114,19 +114,19 @@ def dbscan(df: DataFrame, cols: Sequence[str], eps: float = 0.5, min_samples: in
     pairs = (probes.join(points.select("cell", "salt", "pid", "n", "dense", "cell_id", *xs), ["cell", "salt"])
              .where(_square([F.col(f"a_{x}") for x in xs], [F.col(x) for x in xs]) <= eps2)
              .select("a", F.col("pid").alias("b"), "n", "dense", "cell_id"))
-    pairs = cut_lineage(pairs)
-    sparse_core = cut_lineage(pairs.groupBy("a").agg(F.sum("n").alias("near")).where(F.col("near") >= min_samples).select(F.col("a").alias("pid")))
+    pairs = written(pairs)
+    sparse_core = written(pairs.groupBy("a").agg(F.sum("n").alias("near")).where(F.col("near") >= min_samples).select(F.col("a").alias("pid")))
 
     # core neighbours of sparse points, by their node: the cell of a dense one, itself of a sparse one
     linked = pairs.join(sparse_core.select(F.col("pid").alias("b"), F.lit(True).alias("core_b")), "b", "left")
-    linked = cut_lineage(linked.where("dense OR core_b").select("a", F.when(F.col("dense"), F.col("cell_id")).otherwise(F.col("b")).alias("node")).distinct())
+    linked = written(linked.where("dense OR core_b").select("a", F.when(F.col("dense"), F.col("cell_id")).otherwise(F.col("b")).alias("node")).distinct())
     edges = linked.join(sparse_core.select(F.col("pid").alias("a")), "a").select("a", F.col("node").alias("b"))
     dense = cells.where("dense")
     if d <= 3:
         forward = [o for o in offsets if o > (0,) * d]
         around = F.explode(F.array(*[F.concat_ws(",", *[(F.col("at")[k] + o[k]).cast("string") for k in range(d)]) for o in forward]))
         near = dense.select(F.col("cell").alias("a"), around.alias("b")).join(dense.select(F.col("cell").alias("b")), "b")
-        met = _dense_edges(points.where("dense").select("cell", *xs), cut_lineage(near.select("a", "b")), d, side, eps2)
+        met = _dense_edges(points.where("dense").select("cell", *xs), written(near.select("a", "b")), d, side, eps2)
         ids = dense.select("cell", "cell_id")
         met = (met.join(ids.select(F.col("cell").alias("a"), F.col("cell_id").alias("ia")), "a")
                .join(ids.select(F.col("cell").alias("b"), F.col("cell_id").alias("ib")), "b"))
@@ -134,7 +134,7 @@ def dbscan(df: DataFrame, cols: Sequence[str], eps: float = 0.5, min_samples: in
     nodes = dense.select(F.col("cell_id").alias("node")).union(sparse_core.select(F.col("pid").alias("node")))
     labels = connected_components(nodes, edges)
     numbers = dense_index(labels.select(F.col("label")).distinct(), "label", "cluster")
-    of_node = cut_lineage(labels.join(numbers.select("label", F.col("cluster").cast("int").alias("cluster")), "label"))
+    of_node = written(labels.join(numbers.select("label", F.col("cluster").cast("int").alias("cluster")), "label"))
 
     border = linked.join(of_node, "node").groupBy(F.col("a").alias("pid")).agg(F.min("cluster").alias("border"))
     sparse = (points.where("NOT dense").select("pid").join(of_node.select(F.col("node").alias("pid"), F.col("cluster")), "pid", "left")
