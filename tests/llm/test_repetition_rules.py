@@ -35,7 +35,8 @@ def brute(text, min_words=8):
     chars = sum(map(len, w))
     cc = sum(len(x) for x, c in zip(w, cov) if c)
     longest = max(reach, default=0)
-    kept = not failed and not (100 * cc > 25 * chars or longest > 40)
+    covers = 100 * cc > 15 * chars and (cc > 200 or 100 * cc > 25 * chars)      # the production rule
+    kept = not failed and not (covers or longest > 40)
     return (n, chars, len(re.findall(r"[#*$%&|<>]", raw)), dup, rep, cc, longest, spans, failed, kept)
 
 
@@ -72,3 +73,20 @@ def test_covered_fraction_alone_rejects(spark):
 
 def test_empty_table(spark):
     assert repetition_rules(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_long_texts_that_only_the_covered_share_rejects(spark):
+    """A passage of 20 to 30 words that stands twice in a long text, over 15% of its characters but under 20% of its words."""
+    rng = random.Random(9)
+    word = lambda k: "".join(rng.choice("abcdefghij") for _ in range(k))     # noqa: E731
+    rows, want = [], {}
+    for i in range(40):
+        passage = [word(12) for _ in range(rng.randint(20, 30))]
+        rest = [word(5) for _ in range(rng.randint(280, 400))]
+        at = len(rest) // 2
+        rows.append((i, " ".join(passage + rest[:at] + passage + rest[at:])))
+        want[i] = brute(rows[-1][1])
+    got = {r.doc_id: r for r in repetition_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, b in want.items():
+        assert (got[i].base_failed, got[i].kept) == b[-2:]
+    assert sum(not r.base_failed and not r.kept for r in got.values()) >= 20

@@ -22,6 +22,12 @@ def test_local_search_keeps_items_and_never_needs_more_bins():
         assert all(0 < sum(sizes[i] for i in b) <= 100 for b in second)
         assert len(second) <= len(first)
         better += len(first) - len(second)
+    rng = random.Random(5)
+    sizes = [rng.randint(250, 400) for _ in range(1200)]        # three or four in a bin: swaps must find the fours
+    first = best_fit(sizes, 1024)
+    second = local_search([list(b) for b in first], sizes, 1024)
+    better += len(first) - len(second)
+    assert better > 5
     sizes = [51, 27, 26, 23, 25, 25, 23, 51, 26, 23] * 20      # best fit leaves bins that swaps can empty
     first = best_fit(sizes, 100)
     second = local_search([list(b) for b in first], sizes, 100)
