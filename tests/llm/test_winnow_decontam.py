@@ -72,3 +72,18 @@ def test_empty_tables(spark):
     docs, items = corpus(3, False)
     assert run(spark, [], items) == []
     assert all(r[2] == 0 and not r[4] for r in run(spark, docs[:5], []))
+
+
+def test_repeated_words_and_long_shared_passages_are_linear(spark):
+    """A word repeated 4,000 times against 400 times, and a passage of 60,000 shared words: each within seconds, not the square."""
+    import time
+    rng = random.Random(7)
+    passage = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(60_000))
+    docs = [(1, "same " * 4000), (2, "clean words here " * 10), (3, "before " * 3 + passage + " after" * 3)]
+    items = [(1, "same " * 400), (2, passage), (3, "same")]
+    began = time.time()
+    got = {r[0]: r for r in run(spark, docs, items)}
+    assert time.time() - began < 60
+    assert got[1] == (1, 4000, 4000, ["1", "3"], True)
+    assert got[2] == (2, 30, 0, [], False)
+    assert got[3] == (3, 60_006, 60_000, ["2"], True)
