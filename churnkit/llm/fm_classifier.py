@@ -7,8 +7,8 @@ repeated words, shingles and lines, word length ...) and of its metadata
 ``rank``; a document is scored in time linear in its features by
 sum_{i<j} <v_i, v_j> x_i x_j = 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2].
 
-Training uses at most ``max_rows`` labelled rows, those with the least hash of
-their id, which bounds what reaches the driver; it is logistic regression on the
+Training uses at most ``max_rows`` labelled ids, those with the least hash, each with
+the least of its texts and labels, which bounds what reaches the driver; it is logistic regression on the
 score by Adagrad in NumPy. Labels come only from rows whose
 crc32(id as text) mod 4 is not 2; labels, id, language and source are no inputs.
 Scoring covers every whole text, in tasks.
@@ -175,8 +175,10 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", max_rows:
     """Fit on at most ``max_rows`` labelled rows that are not held out."""
     usable = (labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(target).cast("double").alias("label"))
               .where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("doc_id")))
-              .orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows))
-    rows = texts(docs, id_col, text_col).join(F.broadcast(usable), "doc_id")     # at most max_rows rows of two numbers
+              .groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows))
+    # usable has at most max_rows rows of two numbers; rows that share an id give the least of their texts
+    rows = (texts(docs, id_col, text_col).join(F.broadcast(usable), "doc_id")
+            .groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label"))
     schema = pa.schema([("doc_id", pa.int64()), ("label", pa.float64()), ("feature", pa.binary()), ("value", pa.binary())])
 
     def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", max_rows:
                     pa.array([x.astype("<i4").tobytes() for x in np.split(index, cut)], pa.binary()),
                     pa.array([x.astype("<f4").tobytes() for x in np.split(value, cut)], pa.binary())], schema=schema)
 
-    got = rows.mapInArrow(extract, "doc_id long, label double, feature binary, value binary").limit(2 * max_rows).collect()
+    got = rows.mapInArrow(extract, "doc_id long, label double, feature binary, value binary").collect()      # at most max_rows
     got.sort(key=lambda r: (r.doc_id, bytes(r.feature), r.label))
     index = [np.frombuffer(r.feature, "<i4") for r in got]
     value = [np.frombuffer(r.value, "<f4") for r in got]
