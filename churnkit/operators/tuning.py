@@ -318,6 +318,13 @@ def stacking(df: DataFrame, folds: int = 5, families=None, name: str = "Stacking
                     F.col("prediction").cast("int").alias("prediction"))
 
 
+def isotonic_curve(rows: DataFrame):
+    """Isotonic model of ``label`` on ``score``, predicting ``cal_score``; one weighted point per distinct score, as the
+    fit's last step pools on the driver."""
+    pooled = rows.groupBy("score").agg(F.avg(F.col("label").cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
+    return IsotonicRegression(featuresCol="score", labelCol="label", predictionCol="cal_score", weightCol="weight").fit(pooled)
+
+
 def isotonic_calibration(df: DataFrame, folds: int = 3, fit=None, name: str = "LogisticRegression") -> DataFrame:
     """E5: k-fold isotonic calibration on the validation rows; test AUC before and after.
 
@@ -334,11 +341,7 @@ def isotonic_calibration(df: DataFrame, folds: int = 3, fit=None, name: str = "L
     for f in range(folds):
         inner = val.withColumn("split", F.when(F.col("fold") == f, "cal").otherwise("train")).drop("fold")
         _, p = fit(inner.unionByName(test))
-        # one weighted point per distinct score: the fit's last step pools on the driver
-        pooled = (p.filter(F.col("split") == "cal").groupBy("score")
-                  .agg(F.avg(F.col("label").cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight")))
-        iso = IsotonicRegression(featuresCol="score", labelCol="label", predictionCol="cal_score", weightCol="weight").fit(pooled)
-        t = iso.transform(p.filter(F.col("split") == "test")).select("row_id", "label", "cal_score")
+        t = isotonic_curve(p.filter(F.col("split") == "cal")).transform(p.filter(F.col("split") == "test")).select("row_id", "label", "cal_score")
         cal = t if cal is None else cal.unionByName(t)
     avg = cal.groupBy("row_id", "label").agg(F.avg("cal_score").alias("score")).withColumn("model", F.lit(name))
     after = roc_auc(avg).select(F.col("auc").alias("auc_after"))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
@@ -56,6 +58,11 @@ def list_files(spark: SparkSession, folder: str, ext: str) -> list[str]:
     return sorted(s.getPath().toString() for s in fs.listStatus(p) if s.isFile() and s.getPath().getName().endswith(ext))
 
 
+def _plain(path: str) -> str:
+    """A path without scheme and escapes, as listings and scans write it differently."""
+    return unquote(urlparse(path).path)
+
+
 def read_folder(spark: SparkSession, folder: str, fmt: str = "csv",
                 schema: T.StructType | None = None) -> DataFrame:
     """IO2: every file of a folder, stacked by column name.
@@ -72,10 +79,12 @@ def read_folder(spark: SparkSession, folder: str, fmt: str = "csv",
     if schema is not None:
         groups = {None: files}
     elif fmt == "csv":
+        # the headers of all files in one scan: each task reads its files' first lines; files of one header become one scan
+        lines = spark.read.text(files).select(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("n"), "value")
+        heads = {_plain(r.f): r.head for r in lines.groupBy("f").agg(F.min_by("value", "n").alias("head")).collect()}
         groups = {}
-        for f in files:         # one short read a file; files of one header become one scan
-            head = spark.read.text(f).limit(1).collect()
-            groups.setdefault(head[0][0] if head else "", []).append(f)
+        for f in files:
+            groups.setdefault(heads.get(_plain(f), ""), []).append(f)
     else:
         groups = {}
         for f in files:
