@@ -31,7 +31,7 @@ from .ordered import attach
 from .panel import fit_all
 from .split import class_rank, hash_sample, stratified_folds
 from .tree_tables import Prefix, read_trees, score_prefixes
-from .vector_blocks import pack
+from .vector_blocks import held, pack
 
 
 def with_folds(df: DataFrame, folds: int, seed: int = 42) -> DataFrame:
@@ -149,7 +149,7 @@ TREE_GRID = {"depth": (3, 5, 7, 10, 15, 30), "min_split": (2, 5, 10, 20), "min_l
 
 def _prefix_aucs(df: DataFrame, folds: int, fits: dict, candidates: Sequence[Prefix], threads: int) -> DataFrame:
     """(model, fold, auc) of candidates that are prefixes of ``fits`` (name -> function of the train rows that gives a model)."""
-    tr = with_folds(_rows(df), folds).persist()
+    kept, tr = held(with_folds(_rows(df), folds))
     grown: dict = {}
 
     def grow(name, k):
@@ -161,7 +161,7 @@ def _prefix_aucs(df: DataFrame, folds: int, fits: dict, candidates: Sequence[Pre
         p = score_prefixes(tr.where(F.col("fold") == k), {name: grown[name, k] for name in fits}, candidates, ["label", "fold"])
         every = p if every is None else every.unionByName(p)
     out = cut_lineage(roc_auc(every, ["model", "fold"]))
-    tr.unpersist()
+    kept.unpersist()
     return out
 
 

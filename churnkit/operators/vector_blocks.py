@@ -86,6 +86,15 @@ class Blocks:
         self.held.unpersist()
 
 
+def held(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df`` persisted, and the same rows in partitions of at least ``ROWS`` rows (as far as there are so many): fits of many
+    short jobs pay for every task. The first is for ``unpersist``."""
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    rows, parts = kept.count(), kept.rdd.getNumPartitions()
+    tasks = max(1, min(parts, -(-rows // ROWS)))
+    return kept, kept if tasks == parts else kept.coalesce(tasks)
+
+
 def pack(df: DataFrame, extra: Sequence[str | Column] = (), vec: str | Column = "features") -> Blocks:
     """Blocks of the vector column ``vec`` (or array of doubles) followed by the ``extra`` numeric columns; null counts as NaN."""
     values = vec if isinstance(vec, Column) else vector_to_array(vec)
