@@ -8,8 +8,9 @@ repeated words, shingles and lines, word length ...) and of its metadata
 sum_{i<j} <v_i, v_j> x_i x_j = 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2].
 
 Training uses at most ``max_rows`` labelled rows, those with the least hash of
-their id, which bounds what reaches the driver; it is logistic regression on the
-score by Adagrad in NumPy. Labels come only from rows whose
+their id, each with one text (of rows that share the id, the one whose features
+come first in byte order), which bounds what reaches the driver; it is logistic
+regression on the score by Adagrad in NumPy. Labels come only from rows whose
 crc32(id as text) mod 4 is not 2; labels, id, language and source are no inputs.
 Scoring covers every whole text, in tasks.
 
@@ -191,8 +192,10 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", max_rows:
                     pa.array([x.astype("<i4").tobytes() for x in np.split(index, cut)], pa.binary()),
                     pa.array([x.astype("<f4").tobytes() for x in np.split(value, cut)], pa.binary())], schema=schema)
 
-    got = rows.mapInArrow(extract, "doc_id long, label double, feature binary, value binary").limit(2 * max_rows).collect()
-    got.sort(key=lambda r: (r.doc_id, bytes(r.feature), r.label))
+    extracted = rows.mapInArrow(extract, "doc_id long, label double, feature binary, value binary")
+    first = extracted.groupBy("doc_id", "label").agg(F.min(F.struct("feature", "value")).alias("row"))   # features move, not texts
+    got = first.select("doc_id", "label", "row.*").collect()      # at most max_rows rows
+    got.sort(key=lambda r: (r.doc_id, r.label))
     index = [np.frombuffer(r.feature, "<i4") for r in got]
     value = [np.frombuffer(r.value, "<f4") for r in got]
     none = np.zeros(0, np.int64)

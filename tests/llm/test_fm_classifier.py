@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from churnkit.llm.bytesops import buffers
-from churnkit.llm.fm_classifier import DIMENSION, FactorisationMachine, classify, features, fit
+from churnkit.llm.fm_classifier import DIMENSION, FactorisationMachine, classify, features, fit, train
 
 
 def test_margin_is_the_sum_over_all_pairs():
@@ -59,3 +59,20 @@ def test_held_out_accuracy_and_edge_rows(spark):
     none = classify(docs, marks.where("false")).collect()
     assert {r.score for r in none} == {0.5} and {r.predicted for r in none} == {0}
     assert classify(docs.where("false"), marks).collect() == []
+
+
+def test_training_rows_do_not_depend_on_repeated_ids_or_partitions(spark):
+    """Every labelled id gives one text, whatever the order of its rows, and no other id loses its place."""
+    rows = [(i, f"word{i} and more words {i % 7}") for i in range(60)]
+    copies = [(7, f"another text {k}") for k in range(300)]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(9, 1 - 9 % 2), (9, 9 % 2)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows + copies, "doc_id long, text string")
+    models = [train(d, marks, max_rows=100, epochs=3) for d in (docs.repartition(7), docs.orderBy(docs.text.desc()).coalesce(1))]
+    assert np.array_equal(models[0].linear, models[1].linear) and np.array_equal(models[0].vectors, models[1].vectors)
+    texts = dict(rows)
+    texts[7] = min((t for i, t in rows + copies if i == 7), key=lambda t: features(*buffers(pa.array([t])))[1].astype("<i4").tobytes())
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    both = sorted((i, float(y)) for i in ids for y in ({0, 1} if i == 9 else {i % 2}))
+    doc, index, value = features(*buffers(pa.array([texts[i] for i, _ in both])))
+    want = fit(doc, index, value, np.array([y for _, y in both]), epochs=3)
+    assert np.array_equal(want.linear, models[0].linear) and np.array_equal(want.vectors, models[0].vectors)
