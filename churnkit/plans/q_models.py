@@ -256,7 +256,7 @@ def importance(spark, sf_dir):
     from ..operators.explain import coefficient_table, importance_table
     from ..operators.prep import feature_columns
     d = vec_table(spark, sf_dir)
-    rf, _ = MD.random_forest(d)
+    rf = MD.forest_model(d)
     lr, _ = MD.logistic(d)
     names = feature_columns()
     return round_doubles(importance_table(spark, rf, names, "RandomForest", 10)
