@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .forest import Forest
 from .split import hash_sample
 from .vector_blocks import _matrix
 
@@ -76,6 +78,55 @@ def linear_attributions(df: DataFrame, model, names: Sequence[str], background:
     return _ranked(r, "mean_abs", None).select("feature", "mean_abs", "mean", "rank")
 
 
+def _walks(walks: np.ndarray, x: np.ndarray, key: int | None, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Points (walks, steps, features) on the ways from ``walks`` to ``x``, in orders drawn by the key, and the step at which
+    each feature is switched (walks, features)."""
+    d = len(x)
+    rng = np.random.default_rng([seed, abs(key or 0)])
+    order = np.argsort(rng.random((len(walks), d)), axis=1)
+    place = np.argsort(order, axis=1)
+    on = place[:, None, :] < np.arange(d + 1)[None, :, None]
+    return np.where(on, x, walks[:, None, :]), place
+
+
+def _background(rows: DataFrame, n: int, seed: int, vec: str) -> np.ndarray:
+    return np.array([r.x for r in hash_sample(rows.select("row_id", vec), n, seed).select("row_id", vector_to_array(vec).alias("x"))
+                     .orderBy("row_id").collect()])
+
+
+def forest_shapley_values(rows: DataFrame, background: DataFrame, forest: Forest, names: Sequence[str], *,
+                          n_background: int = 50, orders: int = 2, seed: int = 42, vec: str = "features") -> DataFrame:
+    """``shapley_values`` of a forest whose nodes are a table: the points of all walks are rows, scored by the forest as others are.
+
+    A point counts for the feature switched to reach it, and against the one switched next.
+    """
+    start = np.repeat(_background(background, n_background, seed, vec), orders, axis=0)
+    d = len(names)
+    shared = rows.sparkSession.sparkContext.broadcast(start)
+
+    def points(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walks = shared.value
+        for batch in batches:
+            for i, x in enumerate(_matrix(batch)):
+                key = batch.column(1)[i].as_py()
+                at, place = _walks(walks, x, key, seed)
+                order = np.argsort(place, axis=1)
+                none = np.full((len(walks), 1), -1)
+                flat = at.reshape(-1, d)
+                yield pa.RecordBatch.from_pydict({
+                    "row_id": pa.array([key] * len(flat), pa.int64()), "part": pa.array([uuid.uuid4().hex] * len(flat)),
+                    "reached": pa.array(np.hstack([none, order]).ravel(), pa.int32()), "next": pa.array(np.hstack([order, none]).ravel(), pa.int32()),
+                    "x": pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * d, pa.int32()), pa.array(flat.ravel()))})
+
+    table = rows.select(vector_to_array(vec).alias("x"), F.col("row_id").cast("long").alias("row_id")).mapInArrow(
+        points, "row_id long, part string, reached int, next int, x array<double>").withColumn("features", array_to_vector("x"))
+    scored = forest.score(table, ["row_id", "part", "reached", "next"])
+    steps = scored.select("row_id", "part", F.explode(F.array(F.struct(F.col("reached").alias("f"), F.col("score").alias("v")),
+                                                              F.struct(F.col("next").alias("f"), (-F.col("score")).alias("v")))).alias("s"))
+    sums = steps.where("s.f >= 0").groupBy("row_id", "part", F.col("s.f").alias("f")).agg((F.sum("s.v") / len(start)).alias("phi"))
+    return sums.select("row_id", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("f") + 1).alias("feature"), "phi")
+
+
 def shapley_values(rows: DataFrame, background: DataFrame, predict: Callable[[np.ndarray], np.ndarray], names: Sequence[str], *,
                    n_background: int = 50, orders: int = 2, seed: int = 42, vec: str = "features") -> DataFrame:
     """M12 for any model: sampled Shapley values (Strumbelj & Kononenko 2014), as (row_id, feature, phi).
@@ -85,8 +136,7 @@ def shapley_values(rows: DataFrame, background: DataFrame, predict: Callable[[np
     is switched. A row's values add up to its prediction less the background's mean, exactly; for a linear model they
     are w * (x - mean) in any order. ``predict`` maps a matrix of rows to predictions and runs on all walks of a row at once.
     """
-    base = np.array([r.x for r in hash_sample(background.select("row_id", vec), n_background, seed).select("row_id", vector_to_array(vec).alias("x"))
-                     .orderBy("row_id").collect()])
+    base = _background(background, n_background, seed, vec)
     d, shared = len(names), rows.sparkSession.sparkContext.broadcast((base, predict))
 
     def explain(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,12 +145,8 @@ def shapley_values(rows: DataFrame, background: DataFrame, predict: Callable[[np
         for batch in batches:
             for i, x in enumerate(_matrix(batch)):
                 key = batch.column(1)[i].as_py()
-                rng = np.random.default_rng([seed, abs(key or 0)])
-                order = np.argsort(rng.random((len(walks), d)), axis=1)
-                place = np.argsort(order, axis=1)                                       # when each feature is switched
-                on = place[:, None, :] < np.arange(d + 1)[None, :, None]
-                points = np.where(on, x, walks[:, None, :]).reshape(-1, d)
-                step = np.diff(model(points).reshape(len(walks), d + 1), axis=1)
+                points, place = _walks(walks, x, key, seed)
+                step = np.diff(model(points.reshape(-1, d)).reshape(len(walks), d + 1), axis=1)
                 phi = np.take_along_axis(step, place, axis=1).mean(axis=0)
                 yield pa.RecordBatch.from_pydict({"row_id": pa.array([key] * d, pa.int64()), "feature": pa.array(list(names)), "phi": pa.array(phi)})
 

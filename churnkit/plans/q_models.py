@@ -391,14 +391,13 @@ def evaluate_stored(spark, sf_dir):
 @register("m12_tree_attributions")
 def tree_attributions(spark, sf_dir):
     """M12 on a forest: sampled Shapley values of 100 sampled test rows against 50 background rows; mean |value| per feature."""
-    from ..operators.explain import attribution_table, shapley_values
+    from ..operators.explain import attribution_table, forest_shapley_values
     from ..operators.prep import feature_columns
     from ..operators.split import hash_sample
-    from ..operators.tree_tables import read_trees
     d = vec_table(spark, sf_dir).select("row_id", "label", "split", "features")
-    trees = read_trees(MD.random_forest(d)[0])
+    forest = MD.forest_model(d)
     rows = hash_sample(d.filter(F.col("split") == "test"), 100).repartition(spark.sparkContext.defaultParallelism, "row_id")
-    return round_doubles(attribution_table(shapley_values(rows, MD.train_rows(d), trees.predict, feature_columns()), "RandomForest"))
+    return round_doubles(attribution_table(forest_shapley_values(rows, MD.train_rows(d), forest, feature_columns()), "RandomForest"))
 
 
 @register("c6_spectral")
