@@ -74,6 +74,23 @@ def _derivatives(loss: str, z: np.ndarray, y: np.ndarray):
     return gap * gap, -2 * s * gap, 2.0 * (gap > 0)
 
 
+def _curvature(a: np.ndarray, weight: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Upper triangle (``i``, ``j``) of a' diag(w) a for every column w of ``weight`` (none negative): many problems as one product
+    with the rows' products of two columns, few or wide ones each on the rows they weigh."""
+    m = weight.shape[1]
+    out = np.zeros((m, len(i)))
+    if m >= 4 and a.shape[1] <= 64:
+        for k in range(0, len(a), 512):
+            part = a[k:k + 512]
+            out += weight[k:k + 512].T @ (part[:, i] * part[:, j])
+        return out
+    for k in range(m):
+        rows = np.flatnonzero(weight[:, k])
+        root = a[rows] * np.sqrt(weight[rows, k])[:, None]
+        out[k] = (root.T @ root)[i, j]
+    return out
+
+
 def _direction(grad, hess, w, l1):
     """argmin of g.d + d'Hd/2 + sum(l1 * |w + d|) for each problem (rows); coordinate descent where l1 > 0."""
     n, p = grad.shape
@@ -153,6 +170,7 @@ def _fit(blocks, problems, loss, d, p, expand, tol, max_passes) -> list[LinearFi
     fold = np.array([q.leave_fold for q in problems], float)
     rank = np.array([q.max_rank for q in problems])
 
+    upper = np.triu_indices(p)
     w, trial = np.zeros((k, p)), np.zeros((k, p))
     best, slope, step, move = np.full(k, np.inf), np.zeros(k), np.ones(k), np.zeros((k, p))
     settled, passes = np.zeros(k, bool), np.zeros(k, int)
@@ -170,20 +188,17 @@ def _fit(blocks, problems, loss, d, p, expand, tol, max_passes) -> list[LinearFi
             y = x[:, d]
             seen = (x[:, d + 1][:, None] != f) & (x[:, d + 2][:, None] <= r)
             value, first, second = _derivatives(loss, a @ v.T, y)
-            out = np.empty(m * (1 + p + p * p))
-            out[:m] = (value * seen).sum(axis=0)
-            out[m:m + m * p] = ((first * seen).T @ a).ravel()
-            for j in range(m):
-                out[m + m * p + j * p * p:m + m * p + (j + 1) * p * p] = ((a * (second[:, j] * seen[:, j])[:, None]).T @ a).ravel()
-            return out
-
-        total = blocks.sums(one, m * (1 + p + p * p))
+            return np.concatenate([(value * seen).sum(axis=0), ((first * seen).T @ a).ravel(), _curvature(a, second * seen, *upper).ravel()])
+
+        total = blocks.sums(one, m * (1 + p + len(upper[0])))
         shared.unpersist()
         passes[at] += 1
         t = trial[at]
         value = total[:m] + (l2[at] * t * t).sum(axis=1) / 2 + (l1[at] * np.abs(t)).sum(axis=1)
         grad = total[m:m + m * p].reshape(m, p) + l2[at] * t
-        hess = total[m + m * p:].reshape(m, p, p) + l2[at][:, :, None] * np.eye(p)
+        hess = np.empty((m, p, p))
+        hess[:, upper[0], upper[1]] = hess[:, upper[1], upper[0]] = total[m + m * p:].reshape(m, -1)
+        hess += l2[at][:, :, None] * np.eye(p)
         good = (value <= best[at] + 1e-4 * step[at] * slope[at] + 1e-12 * np.abs(value)) | ~np.isfinite(best[at])
         back = at[~good]
         step[back] /= 2

@@ -40,11 +40,15 @@ def spectral(df: DataFrame, k: int, gamma: float = 1.0, m: int = 200, restarts:
     def normalised(x: np.ndarray) -> np.ndarray:
         b = values(x)
         degree = b @ toward
-        return np.divide(b, np.sqrt(np.maximum(degree, 1e-12))[:, None], out=np.zeros_like(b), where=degree[:, None] > 1e-12) @ root
+        return np.divide(b, np.sqrt(np.maximum(degree, 1e-12))[:, None], out=np.zeros_like(b), where=degree[:, None] > 1e-12)
 
-    gram = blocks.sums(lambda x: (normalised(x).T @ normalised(x)).ravel(), size * size).reshape(size, size)
+    def products(x: np.ndarray) -> np.ndarray:
+        v = normalised(x) @ root
+        return (v.T @ v).ravel()
+
+    gram = blocks.sums(products, size * size).reshape(size, size)
     eigen, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    top = vectors[:, ::-1][:, :k] / np.sqrt(np.maximum(eigen[::-1][:k], 1e-12))
+    top = root @ (vectors[:, ::-1][:, :k] / np.sqrt(np.maximum(eigen[::-1][:k], 1e-12)))
 
     def coordinates(x: np.ndarray) -> np.ndarray:
         u = normalised(x) @ top
@@ -52,7 +56,8 @@ def spectral(df: DataFrame, k: int, gamma: float = 1.0, m: int = 200, restarts:
 
     def embedded(x: np.ndarray) -> pa.RecordBatch:
         u = coordinates(x)
-        return pa.RecordBatch.from_pydict({"row_id": pa.array(x[:, d].astype(np.int64)), "u": pa.array(u.tolist(), pa.list_(pa.float64()))})
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(u) + 1) * k, pa.int32()), pa.array(u.ravel()))
+        return pa.RecordBatch.from_pydict({"row_id": pa.array(x[:, d].astype(np.int64)), "u": lists})
 
     points = pack(blocks.rows_of(embedded, "row_id long, u array<double>"), ["row_id"], F.col("u"))
     centers = kmeans_many(points, [k], restarts, seed)[k].centers

@@ -25,10 +25,11 @@ from ..session import cut_lineage
 from . import models as MD
 from .ensemble import pivot_predictions
 from .kernels import nystrom
-from .linear_many import LinearFit, Problem, fit_many, score_many, seen_and_held
+from .linear_many import LinearFit, Problem, fit_many, score_many
 from .metrics import roc_auc
 from .ordered import attach
 from .panel import fit_all
+from .rank_auc import fit_aucs
 from .split import class_rank, hash_sample, stratified_folds
 from .tree_tables import Prefix, read_trees, score_prefixes
 from .vector_blocks import held, pack
@@ -75,12 +76,17 @@ def _summary(spark, candidates: Sequence[tuple], fields: str, aucs: DataFrame) -
 
 def cv_linear(df: DataFrame, problems: Sequence[Problem], folds: int = 5, loss: str = "logistic") -> DataFrame:
     """(model, fold, auc) of every problem on every fold it did not see; all (problem, fold) fits share their passes."""
-    tr = with_folds(_rows(df), folds).persist()
-    blocks = pack(tr, ["label", "fold", F.lit(0)])
-    fits = fit_many(blocks, [replace(p, leave_fold=k) for p in problems for k in range(folds)], loss)
-    out = cut_lineage(roc_auc(score_many(tr, fits, probability=False, keep=("label", "fold"), held_out=True), ["model", "fold"]))
+    return _cv_linear(df, [(loss, p) for p in problems], folds)
+
+
+def _cv_linear(df: DataFrame, problems: Sequence[tuple[str, Problem]], folds: int) -> DataFrame:
+    """``cv_linear`` of problems of several losses over the same packed rows."""
+    blocks = pack(with_folds(_rows(df), folds), ["label", "fold", F.lit(0)])
+    fits = []
+    for loss in sorted({one for one, _ in problems}):
+        fits += fit_many(blocks, [replace(p, leave_fold=k) for one, p in problems if one == loss for k in range(folds)], loss)
+    out = fit_aucs(blocks, fits).drop("part")
     blocks.close()
-    tr.unpersist()
     return out
 
 
@@ -110,18 +116,14 @@ def _kernel_aucs(df: DataFrame, jobs: Sequence[tuple[str, str, float | None, Seq
     and map come from the rows of the other folds alone; models are called name/C."""
     tr = with_folds(_rows(df), folds).persist()
     blocks = pack(tr, ["label", "fold", F.lit(0)])
-    scored: dict = {}
+    fitted: dict = {}
 
     def run(name, kernel, gamma, cs, k):
         made = nystrom(tr.where(F.col("fold") != k), kernel, m, gamma)
-        fits = fit_many(blocks, [Problem(f"{name}/{c!r}", c, leave_fold=k) for c in cs], "squared_hinge", n_features=len(made.z), expand=made)
-        scored[name, k] = score_many(tr.where(F.col("fold") == k), fits, probability=False, keep=("label", "fold"))
+        fitted[name, k] = fit_many(blocks, [Problem(f"{name}/{c!r}", c, leave_fold=k) for c in cs], "squared_hinge", n_features=len(made.z), expand=made)
 
     fit_all({f"{j[0]} {k}": partial(run, *j, k) for j in jobs for k in range(folds)}, df.sparkSession)
-    every = None
-    for key in sorted(scored):
-        every = scored[key] if every is None else every.unionByName(scored[key])
-    out = cut_lineage(roc_auc(every, ["model", "fold"]))
+    out = fit_aucs(blocks, [fit for key in sorted(fitted) for fit in fitted[key]]).drop("part")
     blocks.close()
     tr.unpersist()
     return out
@@ -249,9 +251,8 @@ def cv_auc(df: DataFrame, folds: int = 5, families=None, linear: Sequence[tuple[
     n = MD.train_rows(df).count() * (folds - 1) // folds
     problems = [*linear, ("logistic", Problem("ElasticNet", 1.0 / (0.1 * max(n, 1)), 0.5))] if linear is CV_LINEAR else list(linear)
     per_fold = None
-    for loss in sorted({one for one, _ in problems}):
-        a = cv_linear(df, [p for one, p in problems if one == loss], folds, loss)
-        per_fold = a if per_fold is None else per_fold.unionByName(a)
+    if problems:
+        per_fold = _cv_linear(df, problems, folds)
     if families:
         tr = fold_table(_rows(df), folds)
         for name, fit in families.items():
@@ -276,16 +277,13 @@ def learning_curve(df: DataFrame, fractions=tuple(i / 10 for i in range(1, 11)),
     """
     tr = class_rank(with_folds(_rows(df), folds), "fold", seed=43)
     sizes = with_folds(_rows(df), folds).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
-    tr = attach(tr, sizes, ["fold"]).withColumn("rank", F.col("_rank") / F.col("n")).drop("_rank", "n").persist()
+    tr = attach(tr, sizes, ["fold"]).withColumn("rank", F.col("_rank") / F.col("n")).drop("_rank", "n")
     blocks = pack(tr, ["label", "fold", "rank"])
-    scored = None
+    fits = []
     for loss in sorted({one for one, _ in models}):
-        problems = [replace(p, name=f"{p.name}@{f!r}", leave_fold=k, max_rank=f) for one, p in models if one == loss for f in fractions for k in range(folds)]
-        part = seen_and_held(tr, fit_many(blocks, problems, loss))
-        scored = part if scored is None else scored.unionByName(part)
-    auc = cut_lineage(roc_auc(scored, ["model", "fold", "part"]))
+        fits += fit_many(blocks, [replace(p, name=f"{p.name}@{f!r}", leave_fold=k, max_rank=f) for one, p in models if one == loss for f in fractions for k in range(folds)], loss)
+    auc = fit_aucs(blocks, fits, seen=True)
     blocks.close()
-    tr.unpersist()
     at = F.split("model", "@")
     side = lambda fn, part: fn(F.when(F.col("part") == part, F.col("auc")))      # noqa: E731
     return auc.groupBy(at[0].alias("model"), at[1].cast("double").alias("fraction")).agg(
