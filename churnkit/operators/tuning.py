@@ -17,13 +17,14 @@ from functools import partial
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, IsotonicRegression, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import models as MD
 from .ensemble import pivot_predictions
+from .forest import cut_points, forest_blocks, grow_forest
 from .kernels import nystrom
 from .linear_many import LinearFit, Problem, fit_many, score_many
 from .metrics import roc_auc
@@ -190,21 +191,34 @@ def forest_search(df: DataFrame, space: dict = FOREST_SPACE, n_iter: int = 50, f
 
     Draws that differ only in depth or number of trees are prefixes of one forest per (least leaf, subsample) and
     fold, grown to the largest of both that was drawn. Separate fits of the same seed would draw other rows
-    and columns; the candidates of one forest here share theirs.
+    and columns; the candidates of one forest here share theirs. Forests grow in groups of rows (operators.forest); only the
+    nodes of one fold's forests are on the driver at a time, at most 2^(depth + 1) a tree whatever the number of rows.
     """
     combos = list(itertools.product(*space.values()))
     drawn = [dict(zip(space, c, strict=True)) for c in random.Random(seed).sample(combos, min(n_iter, len(combos)))]
     kinds = sorted({(c["min_leaf"], c["subsample"]) for c in drawn})
 
-    def fit(leaf, share, rows):
-        mine = [c for c in drawn if (c["min_leaf"], c["subsample"]) == (leaf, share)]
-        return RandomForestRegressor(numTrees=max(c["n_trees"] for c in mine), maxDepth=max(c["depth"] for c in mine), minInstancesPerNode=leaf,
-                                     subsamplingRate=share, featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=1024).fit(rows)
-
     name = lambda c: "/".join(str(c[k]) for k in space)     # noqa: E731
     every = [(name(c), c["n_trees"], c["depth"], c["min_leaf"], c["subsample"]) for c in drawn]
-    aucs = _prefix_aucs(df, folds, {f"{leaf}/{share}": partial(fit, leaf, share) for leaf, share in kinds},
-                        [Prefix(name(c), f"{c['min_leaf']}/{c['subsample']}", c["n_trees"], c["depth"]) for c in drawn], threads)
+    candidates = [Prefix(name(c), f"{c['min_leaf']}/{c['subsample']}", c["n_trees"], c["depth"]) for c in drawn]
+    kept, tr = held(with_folds(_rows(df), folds))
+    rows = []
+    for k in range(folds):
+        blocks = forest_blocks(tr.where(F.col("fold") != k))
+        cuts = cut_points(blocks, max(blocks.width - 2, 0))
+        grown: dict = {}
+
+        def grow(leaf, share, blocks=blocks, cuts=cuts, grown=grown):
+            mine = [c for c in drawn if (c["min_leaf"], c["subsample"]) == (leaf, share)]
+            grown[f"{leaf}/{share}"] = read_trees(grow_forest(blocks, cuts, trees=max(c["n_trees"] for c in mine), max_depth=max(c["depth"] for c in mine),
+                                                              min_leaf=leaf, rate=share, seed=seed))
+
+        fit_all({f"{leaf}/{share}": partial(grow, leaf, share) for leaf, share in kinds}, df.sparkSession, threads)
+        blocks.close()
+        scored = score_prefixes(tr.where(F.col("fold") == k), grown, candidates, ["label", "fold"])
+        rows += [(r["model"], r["fold"], r["auc"]) for r in roc_auc(scored, ["model", "fold"]).collect()]       # one row per candidate
+    kept.unpersist()
+    aucs = df.sparkSession.createDataFrame(rows, "model string, fold int, auc double")
     return _summary(df.sparkSession, every, "n_trees int, max_depth int, min_leaf int, subsample double", aucs)
 
 

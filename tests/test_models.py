@@ -134,3 +134,18 @@ def test_hierarchical_covers_all_rows(table):
     df, _, _ = table
     _, lab = CL.hierarchical(df, 3)
     assert lab.select("cluster").distinct().count() == 3 and lab.count() == 600
+
+
+def test_forest_search_grows_by_groups(table, monkeypatch):
+    """One forest per (least leaf, subsample) and fold, grown outside the driver; a candidate's AUC is that of the forest itself."""
+    df, _, _ = table
+    made = []
+    grow = TU.grow_forest
+    monkeypatch.setattr(TU, "grow_forest", lambda *a, **k: made.append(grow(*a, **k)) or made[-1])
+    got = TU.forest_search(df, {"n_trees": (3, 6), "depth": (2, 4), "min_leaf": (2,), "subsample": (0.8,)}, n_iter=4, folds=2, threads=1).collect()
+    assert len(made) == 2 and all(f.nodes.count() == 6 for f in made)
+    tr = TU.with_folds(df.select("row_id", "label", "split", "features"), 2)
+    full = next(r for r in got if (r.n_trees, r.max_depth) == (6, 4))
+    for k, forest in enumerate(made):
+        own = TU.roc_auc(forest.score(tr.where(F.col("fold") == k), ["label", "fold"]), ["fold"]).first().auc
+        assert full.fold_auc[k] == pytest.approx(own, abs=1e-12)
