@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
+from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -75,10 +75,14 @@ def hierarchical(df: DataFrame, k: int, seed: int = 42, vec: str = "features", m
     """Divisive hierarchical clustering (bisecting k-means) of all rows into k clusters.
 
     The agglomerative form merges all pairs on one machine; this one splits the
-    largest cluster again and again, every split a Spark job over all rows.
+    largest cluster again and again, every step of a split one pass over all packed rows (bisecting).
     """
-    m = BisectingKMeans(k=k, seed=seed, featuresCol=vec, maxIter=max_iter).fit(df)
-    return m, m.transform(df).withColumnRenamed("prediction", "cluster")
+    from .bisecting import bisect
+    from .vector_blocks import pack
+    blocks = pack(df, vec=vec)
+    m = bisect(blocks, k, seed, max_iter)
+    blocks.close()
+    return m, m.transform(df, vec, "cluster")
 
 
 def k_search(df: DataFrame, k_range=range(2, 15), seed: int = 42, vec: str = "features", n_init: int = 10, key: str = "row_id"):

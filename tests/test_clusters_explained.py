@@ -76,3 +76,20 @@ def test_shapley_values_add_up_and_equal_the_linear_form(spark):
     for i in range(12):
         assert total[i] == pytest.approx(float(trees.predict(x[i:i + 1])[0] - trees.predict(x[base]).mean()), abs=1e-9)
     assert [r.rank for r in attribution_table(values, "m").orderBy("rank").collect()] == [1, 2, 3, 4]
+
+
+def test_bisecting_equals_spark_and_ends_early(spark):
+    """Spark's clusters of the same seed, and no passes after the centres rest."""
+    from pyspark.ml.clustering import BisectingKMeans
+    from pyspark.ml.functions import array_to_vector
+
+    from churnkit.operators.clustering import hierarchical
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(v) for v in rng.normal(size=3) + (4 * (i % 3), i % 3, 1)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "row_id long, a array<double>").select("row_id", array_to_vector("a").alias("features")).repartition(3)
+    for k in (2, 3):
+        model, got = hierarchical(df, k)
+        want = {r.row_id: r.prediction for r in BisectingKMeans(k=k, seed=42, maxIter=100).fit(df).transform(df).collect()}
+        assert {r.row_id: r.cluster for r in got.collect()} == want and 2 < model.passes < 60
+    model, got = hierarchical(df.where("row_id = 5").union(df.where("row_id = 5")), 2)      # one distinct row is not split
+    assert {r.cluster for r in got.collect()} == {0} and hierarchical(df.limit(0), 2)[1].count() == 0
