@@ -337,6 +337,18 @@ def isotonic_curve(rows: DataFrame):
     return IsotonicRegression(featuresCol="score", labelCol="label", predictionCol="cal_score", weightCol="weight").fit(pooled)
 
 
+def _logistic_parts(df: DataFrame, val: DataFrame, test: DataFrame, folds: int, name: str):
+    """Test rows scored by the logistic model of the train rows, and for each fold of ``val`` its rows and the test rows scored by the
+    model of the other folds; the models of all folds share their passes (linear_many)."""
+    blocks = pack(MD.train_rows(_rows(df)), ["label", F.lit(-2), F.lit(0)])
+    base = score_many(test, fit_many(blocks, [Problem(name)]))
+    blocks.close()
+    blocks = pack(val, ["label", "fold", F.lit(0)])
+    fits = fit_many(blocks, [Problem(name, leave_fold=f) for f in range(folds)])
+    blocks.close()
+    return base, [(score_many(val.filter(F.col("fold") == f), [fits[f]]), score_many(test, [fits[f]])) for f in range(folds)]
+
+
 def isotonic_calibration(df: DataFrame, folds: int = 3, fit=None, name: str = "LogisticRegression") -> DataFrame:
     """E5: k-fold isotonic calibration on the validation rows; test AUC before and after.
 
@@ -344,16 +356,20 @@ def isotonic_calibration(df: DataFrame, folds: int = 3, fit=None, name: str = "L
     map on this fold's scores, apply both to the test rows; the calibrated
     test score is the mean over folds.
     """
-    fit = fit or DEFAULT_FAMILIES["LogisticRegression"]
-    _, base = fit(df)
+    test, val = df.filter(F.col("split") == "test"), stratified_folds(df.filter(F.col("split") == "val"), "label", folds)
+    if fit is None:
+        base, scored = _logistic_parts(df, val, test, folds, name)
+    else:
+        _, base = fit(df)
+        scored = []
+        for f in range(folds):
+            inner = val.withColumn("split", F.when(F.col("fold") == f, "cal").otherwise("train")).drop("fold")
+            _, p = fit(inner.unionByName(test))
+            scored.append((p.filter(F.col("split") == "cal"), p.filter(F.col("split") == "test")))
     before = roc_auc(base.filter(F.col("split") == "test")).select(F.col("auc").alias("auc_before"))
-    val = stratified_folds(df.filter(F.col("split") == "val"), "label", folds)
-    test = df.filter(F.col("split") == "test")
     cal = None
-    for f in range(folds):
-        inner = val.withColumn("split", F.when(F.col("fold") == f, "cal").otherwise("train")).drop("fold")
-        _, p = fit(inner.unionByName(test))
-        t = isotonic_curve(p.filter(F.col("split") == "cal")).transform(p.filter(F.col("split") == "test")).select("row_id", "label", "cal_score")
+    for own, p in scored:
+        t = isotonic_curve(own).transform(p).select("row_id", "label", "cal_score")
         cal = t if cal is None else cal.unionByName(t)
     avg = cal.groupBy("row_id", "label").agg(F.avg("cal_score").alias("score")).withColumn("model", F.lit(name))
     after = roc_auc(avg).select(F.col("auc").alias("auc_after"))

@@ -149,3 +149,13 @@ def test_forest_search_grows_by_groups(table, monkeypatch):
     for k, forest in enumerate(made):
         own = TU.roc_auc(forest.score(tr.where(F.col("fold") == k), ["label", "fold"]), ["fold"]).first().auc
         assert full.fold_auc[k] == pytest.approx(own, abs=1e-12)
+
+
+def test_calibration_equals_separate_fits(table, monkeypatch):
+    """The shared passes give the AUCs of one Spark fit per fold, and no Spark fit is left."""
+    df, _, _ = table
+    want = TU.isotonic_calibration(df, fit=lambda d: MD.logistic(d)).first()
+    monkeypatch.setattr(MD, "logistic", None)
+    got = TU.isotonic_calibration(df).first()
+    assert got.model == "LogisticRegression" and got.auc_before == pytest.approx(want.auc_before, abs=1e-6)
+    assert got.auc_after == pytest.approx(want.auc_after, abs=1e-3) and got.improvement == pytest.approx(got.auc_after - got.auc_before)
