@@ -159,3 +159,30 @@ def test_calibration_equals_separate_fits(table, monkeypatch):
     got = TU.isotonic_calibration(df).first()
     assert got.model == "LogisticRegression" and got.auc_before == pytest.approx(want.auc_before, abs=1e-6)
     assert got.auc_after == pytest.approx(want.auc_after, abs=1e-3) and got.improvement == pytest.approx(got.auc_after - got.auc_before)
+
+
+def test_kernel_svm_reaches_the_least_hinge_sum_in_few_passes(table):
+    """No other weights, those of Spark's long run included, have a sum lower by more than the tolerance."""
+    df, x, y = table
+    fit, p = K.kernel_svm(df, "rbf", m=30)
+    assert fit.converged and fit.passes < 80
+    at = [i for i in range(600) if i % 5 > 1]
+    a, s = fit.expand(x[at]), 2 * y[at] - 1
+    total = lambda w, b: np.maximum(0, 1 - s * (a @ w + b)).sum() + (w @ w) / 2     # noqa: E731
+    least = total(fit.weights, fit.intercept)
+    assert abs(least - fit.objective) < 1e-6 * least
+    spark_fit = LinearSVC(featuresCol="kfeatures", regParam=1.0 / len(at), maxIter=300, standardization=False, tol=1e-7).fit(
+        MD.train_rows(K.kernel_map(df, "rbf", m=30)).coalesce(1))
+    assert least <= total(spark_fit.coefficients.toArray(), spark_fit.intercept) * (1 + 2e-4)
+    rng = np.random.default_rng(1)
+    for size in (1e-3, 1e-2, 0.1):
+        for _ in range(50):
+            assert least <= total(fit.weights + size * rng.normal(size=30), fit.intercept + size * rng.normal()) * (1 + 2e-4)
+    got = {r.row_id: r.score for r in p.collect()}
+    assert len(got) == 600 and max(abs(got[i] - (a[k] @ fit.weights + fit.intercept)) for k, i in enumerate(at)) < 1e-9
+
+
+def test_kernel_svm_of_one_class(table):
+    df, _, _ = table
+    fit, p = K.kernel_svm(df.withColumn("label", F.lit(0)), "rbf", m=10)
+    assert fit.intercept == -1 and not fit.weights.any() and p.where("prediction = 1").count() == 0
