@@ -14,10 +14,10 @@ from collections.abc import Sequence
 from dataclasses import replace
 from functools import partial
 
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +32,7 @@ from .ordered import attach
 from .panel import fit_all
 from .rank_auc import fit_aucs
 from .split import class_rank, hash_sample, stratified_folds
+from .tree_search import Tree, candidate_aucs
 from .tree_tables import Prefix, read_trees, score_prefixes
 from .vector_blocks import held, pack
 
@@ -150,35 +151,17 @@ def rbf_grid(df: DataFrame, sample: int = 2000, Cs: Sequence[float] = (0.1, 1.0,
 TREE_GRID = {"depth": (3, 5, 7, 10, 15, 30), "min_split": (2, 5, 10, 20), "min_leaf": (1, 2, 4, 8), "criterion": ("gini", "entropy")}
 
 
-def _prefix_aucs(df: DataFrame, folds: int, fits: dict, candidates: Sequence[Prefix], threads: int) -> DataFrame:
-    """(model, fold, auc) of candidates that are prefixes of ``fits`` (name -> function of the train rows that gives a model)."""
-    kept, tr = held(with_folds(_rows(df), folds))
-    grown: dict = {}
-
-    def grow(name, k):
-        grown[name, k] = read_trees(fits[name](tr.where(F.col("fold") != k)))
-
-    fit_all({f"{name} {k}": partial(grow, name, k) for name in fits for k in range(folds)}, df.sparkSession, threads)
-    every = None
-    for k in range(folds):
-        p = score_prefixes(tr.where(F.col("fold") == k), {name: grown[name, k] for name in fits}, candidates, ["label", "fold"])
-        every = p if every is None else every.unionByName(p)
-    out = cut_lineage(roc_auc(every, ["model", "fold"]))
-    kept.unpersist()
-    return out
-
-
-def tree_grid(df: DataFrame, grid: dict = TREE_GRID, folds: int = 5, threads: int = 8) -> DataFrame:
+def tree_grid(df: DataFrame, grid: dict = TREE_GRID, folds: int = 5) -> DataFrame:
     """H1 for the decision tree: all candidates from one deep tree per criterion, least leaf and fold, since depth and
-    rows-to-split limits cut a tree to a prefix. 'gini' grows on the 0/1 label (variance = gini / 2); 'entropy' uses
-    Spark's classifier, which joins sibling leaves of one class."""
-    def fit(criterion, leaf, rows):
-        kind = DecisionTreeRegressor if criterion == "gini" else partial(DecisionTreeClassifier, impurity="entropy")
-        return kind(maxDepth=max(grid["depth"]), minInstancesPerNode=leaf, seed=42).fit(rows)
-
-    fits = {f"{c}/{leaf}": partial(fit, c, leaf) for c in grid["criterion"] for leaf in grid["min_leaf"]}
+    rows-to-split limits cut a tree to a prefix (operators.tree_search). 'gini' grows on the 0/1 label (variance = gini / 2);
+    'entropy' joins sibling leaves of one class, as Spark's classifier does."""
     every = [(f"{c}/{leaf}/{d}/{s}", c, d, s, leaf) for c in grid["criterion"] for d in grid["depth"] for leaf in grid["min_leaf"] for s in grid["min_split"]]
-    aucs = _prefix_aucs(df, folds, fits, [Prefix(n, f"{c}/{leaf}", 1, d, s) for n, c, d, s, leaf in every], threads)
+    trees = [Tree(k, c, leaf, tuple((i, d, s) for i, (_, of, d, s, least) in enumerate(every) if (of, least) == (c, leaf)))
+             for k in range(folds) for c in grid["criterion"] for leaf in grid["min_leaf"]]
+    blocks = pack(with_folds(_rows(df), folds), ["label", "fold"])
+    rows = [(every[i][0], k, auc) for i, k, auc in candidate_aucs(blocks, trees, folds)]
+    blocks.close()
+    aucs = df.sparkSession.createDataFrame(rows, "model string, fold int, auc double")
     return _summary(df.sparkSession, every, "criterion string, max_depth int, min_samples_split int, min_samples_leaf int", aucs)
 
 
