@@ -2,8 +2,8 @@
 
 Folds come from the exact stratified ``ntile`` folds (W2) so that every
 candidate sees the same rows. Linear candidates of all folds are fitted in shared
-passes (linear_many); tree candidates are read as prefixes of a few fits
-(tree_tables), which run in a few driver threads.
+passes (linear_many); tree candidates are read as prefixes of a few forests
+(tree_tables) or of deep trees that grow together (tree_search).
 """
 
 from __future__ import annotations
