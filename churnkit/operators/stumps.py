@@ -14,13 +14,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .boosting import Tree, _binned_blocks
+from ..session import written
+from .boosting import Tree
 from .forest import BINS, binned, cut_points
-from .vector_blocks import _matrix, pack
+from .vector_blocks import Blocks, _matrix, pack
 
 
 def best_stump(weight: np.ndarray, cuts: Sequence[np.ndarray]) -> tuple[Tree, float, np.ndarray]:
@@ -73,6 +75,22 @@ class Stumps:
         return df.select(vector_to_array(vec).alias("x"), *keep).mapInArrow(local, ", ".join(f"`{c}` {fields[c]}" for c in keep) + ", score double")
 
 
+def _binned_blocks(blocks: Blocks, cuts, d: int) -> tuple[Blocks, int]:
+    """Rows of (bins, eight to a double; label, fold, key), and the doubles that hold the bins."""
+    q = -(-d // 8)
+
+    def make(x: np.ndarray) -> pa.RecordBatch:
+        bins = np.zeros((len(x), 8 * q), np.uint8)
+        bins[:, :d] = binned(x[:, :d], cuts)
+        out = np.zeros((len(x), q + 3))
+        out[:, :q] = bins.view(np.float64)
+        out[:, q:] = x[:, d:]
+        return pa.RecordBatch.from_pydict({"numbers": pa.array([out.tobytes()], pa.binary())})
+
+    held = written(blocks.rows_of(make, "numbers binary")).persist(StorageLevel.MEMORY_AND_DISK)
+    return Blocks(held, q + 3, blocks.rows, held.rdd.getNumPartitions(), held), q
+
+
 def fit_stumps(df: DataFrame, rounds: int = 100, rate: float = 1.0) -> Stumps:
     """SAMME on the rows of ``df`` (label 0/1, features); ends where the error is 0 or no less than 1/2."""
     blocks = pack(df, ["label", F.lit(-2), F.lit(0)])
@@ -81,7 +99,7 @@ def fit_stumps(df: DataFrame, rounds: int = 100, rate: float = 1.0) -> Stumps:
     if not d or not blocks.rows:
         blocks.close()
         return Stumps(stumps, cuts, votes)
-    state, q = _binned_blocks(blocks, cuts, d, 0)
+    state, q = _binned_blocks(blocks, cuts, d)
     blocks.close()
     for _ in range(rounds):
         shared = df.sparkSession.sparkContext.broadcast(votes.copy())
