@@ -33,7 +33,7 @@ from .panel import fit_all
 from .rank_auc import fit_aucs
 from .split import class_rank, hash_sample, stratified_folds
 from .tree_search import Tree, candidate_aucs
-from .tree_tables import Prefix, read_trees, score_prefixes
+from .tree_tables import Prefix, prefix_aucs, read_trees
 from .vector_blocks import held, pack
 
 
@@ -173,13 +173,14 @@ def forest_search(df: DataFrame, space: dict = FOREST_SPACE, n_iter: int = 50, f
     """H2: ``n_iter`` draws without replacement from the product of ``space``, by held-out AUC.
 
     Draws that differ only in depth or number of trees are prefixes of one forest per (least leaf, subsample) and
-    fold, grown to the largest of both that was drawn. Separate fits of the same seed would draw other rows
-    and columns; the candidates of one forest here share theirs. Forests grow in groups of rows (operators.forest); only the
+    fold, grown to the largest of both that was drawn for the subsample. Separate fits of the same seed would draw other rows
+    and columns; the candidates of one forest here share theirs, and forests that differ in the least leaf alone grow together as far as
+    their splits are the same. Forests grow outside the driver (operators.forest); only the
     nodes of one fold's forests are on the driver at a time, at most 2^(depth + 1) a tree whatever the number of rows.
     """
     combos = list(itertools.product(*space.values()))
     drawn = [dict(zip(space, c, strict=True)) for c in random.Random(seed).sample(combos, min(n_iter, len(combos)))]
-    kinds = sorted({(c["min_leaf"], c["subsample"]) for c in drawn})
+    shares = sorted({c["subsample"] for c in drawn})
 
     name = lambda c: "/".join(str(c[k]) for k in space)     # noqa: E731
     every = [(name(c), c["n_trees"], c["depth"], c["min_leaf"], c["subsample"]) for c in drawn]
@@ -191,15 +192,17 @@ def forest_search(df: DataFrame, space: dict = FOREST_SPACE, n_iter: int = 50, f
         cuts = cut_points(blocks, max(blocks.width - 2, 0))
         grown: dict = {}
 
-        def grow(leaf, share, blocks=blocks, cuts=cuts, grown=grown):
-            mine = [c for c in drawn if (c["min_leaf"], c["subsample"]) == (leaf, share)]
-            grown[f"{leaf}/{share}"] = read_trees(grow_forest(blocks, cuts, trees=max(c["n_trees"] for c in mine), max_depth=max(c["depth"] for c in mine),
-                                                              min_leaf=leaf, rate=share, seed=seed))
+        def grow(share, blocks=blocks, cuts=cuts, grown=grown):
+            mine = [c for c in drawn if c["subsample"] == share]
+            leaf, *also = sorted({c["min_leaf"] for c in mine})
+            forest = grow_forest(blocks, cuts, trees=max(c["n_trees"] for c in mine), max_depth=max(c["depth"] for c in mine),
+                                 min_leaf=leaf, rate=share, seed=seed, also=also)
+            grown.update({f"{one}/{share}": read_trees(f) for one, f in {leaf: forest, **forest.also}.items()})
 
-        fit_all({f"{leaf}/{share}": partial(grow, leaf, share) for leaf, share in kinds}, df.sparkSession, threads)
+        fit_all({str(share): partial(grow, share) for share in shares}, df.sparkSession, threads)
         blocks.close()
-        scored = score_prefixes(tr.where(F.col("fold") == k), grown, candidates, ["label", "fold"])
-        rows += [(r["model"], r["fold"], r["auc"]) for r in roc_auc(scored, ["model", "fold"]).collect()]       # one row per candidate
+        aucs = prefix_aucs(tr.where(F.col("fold") == k), grown, candidates)
+        rows += [(c.name, k, aucs[c.name]) for c in candidates if c.name in aucs]
     kept.unpersist()
     aucs = df.sparkSession.createDataFrame(rows, "model string, fold int, auc double")
     return _summary(df.sparkSession, every, "n_trees int, max_depth int, min_leaf int, subsample double", aucs)
